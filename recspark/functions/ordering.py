@@ -31,11 +31,16 @@ def top_k(
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def quantile_bucket(df: DataFrame, column: str, buckets: int, name: str) -> DataFrame:
-    """Add an order-preserving bucket number for ``column``; buckets hold similar row counts."""
+def quantile_bucket(
+    df: DataFrame, column: str, buckets: int, name: str, source: DataFrame | None = None
+) -> DataFrame:
+    """Add an order-preserving bucket number for ``column``; buckets hold similar row counts.
+
+    The cuts come from ``source`` when given, a cheaper table with the same values.
+    """
     probabilities = [i / buckets for i in range(1, buckets)]
-    cuts = df.select(F.col(column).cast("double").alias(column)).stat.approxQuantile(
-        column, probabilities, 1.0 / (4 * buckets)
+    cuts = (source or df).select(F.col(column).cast("double").alias(column)).stat.approxQuantile(
+        column, probabilities, 0.01
     )
     splits = [NEG_INF, *sorted(set(cuts)), POS_INF]
     if len(splits) < 3:

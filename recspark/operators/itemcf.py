@@ -73,8 +73,23 @@ def itemcf_neighbours(model: ItemCF, hist: DataFrame) -> DataFrame:
     )
 
 
-def without_neighbours(users: DataFrame, neighbours: DataFrame) -> DataFrame:
-    return users.select("user_id").join(neighbours.select("user_id").distinct(), "user_id", "left_anti")
+def lonely_users(model: ItemCF, hist: DataFrame, users: DataFrame) -> DataFrame:
+    """Users whose history has no unseen neighbour.
+
+    An item with at least as many neighbours as the user has seen items must
+    have an unseen one, so only the few remaining suspects are looked up.
+    """
+    seen = hist.select("user_id", "item_id").distinct()
+    degree = model.sim.groupBy(F.col("src").alias("item_id")).agg(F.count(F.lit(1)).alias("degree"))
+    safe = (
+        seen.join(degree, "item_id", "left")
+        .groupBy("user_id")
+        .agg(F.max(F.coalesce("degree", F.lit(0))).alias("degree"), F.count(F.lit(1)).alias("h"))
+        .filter(F.col("degree") >= F.col("h"))
+    )
+    suspects = users.select("user_id").distinct().join(safe.select("user_id"), "user_id", "left_anti")
+    linked = itemcf_neighbours(model, seen.join(suspects, "user_id", "left_semi")).select("user_id")
+    return suspects.join(linked, "user_id", "left_anti")
 
 
 def itemcf_retrieve(
@@ -82,39 +97,36 @@ def itemcf_retrieve(
 ) -> DataFrame:
     """Top ``k`` unseen items per user; popularity for users without any neighbour.
 
-    ``allowed`` maps (user_id, item_id, ...) rows to the rows that pass the hard
-    filter. The fallback looks at neighbours before that filter, so a user whose
-    neighbours are all filtered gets no rows. With a filter, the fallback ranks
-    all popular unseen items before filtering, never a prefix.
+    ``allowed`` filters (user_id, item_id, score) rows; without it every catalog
+    item is allowed. The fallback looks at neighbours before that filter, so a
+    user whose neighbours are all filtered gets no rows.
     """
-    neighbours = itemcf_neighbours(model, hist)
-    lonely = without_neighbours(users, neighbours)
-    known = items.join(model.pop, "item_id", "left_semi")
-    order = catalog_order(known, model.pop)
-    if allowed is None:
-        fallback = first_unseen(lonely, order, hist, k).drop("rank")
-        scored = neighbours.join(items.select("item_id"), "item_id", "left_semi")
-    else:
-        size = known.count()
-        fallback = allowed(first_unseen(lonely, order, hist, max(size, 1)).drop("rank"))
-        scored = allowed(neighbours)
+    if k <= 0:
+        raise ValueError("k must be positive")
+    keep = allowed or (lambda df: df.join(items.select("item_id"), "item_id", "left_semi"))
     columns = ["user_id", "item_id", "score"]
-    return top_k(scored.select(*columns).unionByName(fallback.select(*columns)), k)
+    result = top_k(keep(itemcf_neighbours(model, hist)).select(*columns), k)
+    lonely = lonely_users(model, hist, users)
+    if not lonely.isEmpty():
+        known = items.join(model.pop, "item_id", "left_semi")
+        depth = max(known.count(), 1) if allowed else k
+        fallback = keep(first_unseen(lonely, catalog_order(known, model.pop), hist, depth).drop("rank"))
+        result = result.unionByName(top_k(fallback.select(*columns), k))
+    return result
 
 
 def itemcf_score(model: ItemCF, hist: DataFrame, pairs: DataFrame) -> DataFrame:
     """Score of the requested (user, item) pairs; 0.0 where an item is no neighbour."""
     seen = hist.select("user_id", "item_id").distinct()
-    neighbours = itemcf_neighbours(model, hist)
     wanted = pairs.select("user_id", "item_id").distinct()
-    lonely = without_neighbours(wanted.select("user_id").distinct(), neighbours)
+    lonely = lonely_users(model, hist, wanted)
     popular = (
         wanted.join(lonely, "user_id", "left_semi")
         .join(seen, ["user_id", "item_id"], "left_anti")
         .join(model.pop, "item_id")
         .select("user_id", "item_id", F.col("popularity").cast("double").alias("score"))
     )
-    scores = neighbours.select("user_id", "item_id", "score").unionByName(popular)
+    scores = itemcf_neighbours(model, hist).select("user_id", "item_id", "score").unionByName(popular)
     return wanted.join(scores, ["user_id", "item_id"], "left").select(
         "user_id", "item_id", F.coalesce("score", F.lit(0.0)).alias("score")
     )

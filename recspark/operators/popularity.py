@@ -23,7 +23,7 @@ def catalog_order(items: DataFrame, pop: DataFrame, partition: tuple[str, ...] =
     counted = ids.join(pop, "item_id", "left").select(
         *partition, "item_id", F.coalesce(F.col("popularity"), F.lit(0)).cast("bigint").alias("popularity")
     )
-    coarse = quantile_bucket(counted, "item_id", 64, "__ib")
+    coarse = quantile_bucket(counted, "item_id", 64, "__ib", source=items)
     order = [F.col("popularity").desc(), F.col("item_id").asc()]
     return numbered(coarse, order, [("popularity", True), ("__ib", False)], partition).drop("__ib")
 

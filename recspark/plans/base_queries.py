@@ -178,7 +178,7 @@ oracle("legal_train", "legal", "SELECT user_id, item_id, CAST(rating AS BIGINT)
 
 @query("positive_histories")
 def _positive_histories(x: Inputs):
-    return x.history.select(*longs("user_id", "item_id", "rating", "ts"))
+    return splits.positive_histories(x.legal, x.items).select(*longs("user_id", "item_id", "rating", "ts"))
 
 
 oracle("positive_histories", "hist", "SELECT user_id, item_id, CAST(rating AS BIGINT) AS rating, ts FROM hist")
@@ -207,7 +207,7 @@ WHERE user_id IN (SELECT user_id FROM goals ORDER BY user_id LIMIT 500)""")
 
 @query("popularity")
 def _popularity(x: Inputs):
-    top = popularity.popularity_topk(x.legal, x.items, x.users, x.seen, 10)
+    top = popularity.popularity_topk(x.legal_positives, x.items, x.users, x.seen, 10)
     return top.select("user_id", "item_id", *longs("rank"), *rounded("score"))
 
 
@@ -223,7 +223,7 @@ oracle("popularity", "poprank", "SELECT user_id, item_id, rank, score FROM popra
 
 @query("itemcf_fit")
 def _itemcf_fit(x: Inputs):
-    return x.model.sim.select("src", "dst", *rounded("score"))
+    return itemcf.itemcf_fit(x.legal).sim.select("src", "dst", *rounded("score"))
 
 
 oracle("itemcf_fit", "sim", "SELECT src, dst, round(score, 6) AS score FROM sim")
@@ -242,7 +242,7 @@ SELECT user_id, item_id, rank, round(score, 6) AS score FROM cfrank WHERE rank <
 @query("itemcf_score_many")
 def _itemcf_score_many(x: Inputs):
     """Score the most popular unseen items and the validation target of every user."""
-    popular = popularity.popularity_topk(x.legal, x.items, x.users, x.seen, 10).select("user_id", "item_id")
+    popular = popularity.popularity_topk(x.legal_positives, x.items, x.users, x.seen, 10).select("user_id", "item_id")
     pairs = popular.unionByName(x.goals)
     return itemcf.itemcf_score(x.model, x.seen, pairs).select("user_id", "item_id", *rounded("score"))
 
@@ -305,7 +305,7 @@ FROM directmetrics""")
 def two_methods(x: Inputs):
     """Per-user metrics and top-10 lists of ItemCF and popularity."""
     direct = direct_ranking(x)
-    popular = popularity.popularity_topk(x.legal, x.items, x.goals, x.seen, 10)
+    popular = popularity.popularity_topk(x.legal_positives, x.items, x.goals, x.seen, 10)
     name = lambda df, m: df.withColumn("method", F.lit(m))
     rows = name(direct_metrics(x, direct), "itemcf_direct").unionByName(name(direct_metrics(x, popular), "popularity"))
     ranked = name(direct.select("user_id", "item_id", "rank"), "itemcf_direct").unionByName(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recspark.operators import itemcf, splits
-from recspark.session import tune
+from recspark.session import stored, tune
 from recspark.sources import testdata
 
 
@@ -45,10 +46,15 @@ class Inputs:
     def legal(self) -> DataFrame:
         return splits.legal_train(self.inter, self.targets)
 
+    @cached_property
+    def legal_positives(self) -> DataFrame:
+        """Positive legal rows, written once: the fit and every history read them."""
+        return stored(splits.positives(self.legal), "legal")
+
     @cached_property
     def history(self) -> DataFrame:
         """Positive legal history rows on catalog items."""
-        return splits.positive_histories(self.legal, self.items)
+        return splits.positive_histories(self.legal_positives, self.items)
 
     @cached_property
     def seen(self) -> DataFrame:
@@ -61,7 +67,8 @@ class Inputs:
 
     @cached_property
     def model(self) -> itemcf.ItemCF:
-        return itemcf.itemcf_fit(self.legal)
+        fitted = itemcf.itemcf_fit(self.legal_positives)
+        return replace(fitted, sim=stored(fitted.sim, "sim"), pop=stored(fitted.pop, "pop"))
 
 
 QUERIES: dict = {}

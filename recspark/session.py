@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Joins on user history expand their input many times over: keep small
+    # shuffles spread over all cores instead of merging them by input size.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A skewed join is worth one more shuffle: split it even when a later
     # aggregation could have reused its partitioning.

@@ -87,7 +87,7 @@ def main() -> None:
     args = sys.argv[1:]
     sf = args[0] if args else "0.01"
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = build_session("local[8]", 8, **{"spark.driver.memory": "12g"})
+    spark = build_session("local[8]", 8, **{"spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     queries, sqls = entry.queries(), entry.oracle_sql()
