@@ -103,6 +103,7 @@ def itemcf_retrieve(
     """
     if k <= 0:
         raise ValueError("k must be positive")
+    hist = hist.join(users.select("user_id"), "user_id", "left_semi")
     keep = allowed or (lambda df: df.join(items.select("item_id"), "item_id", "left_semi"))
     columns = ["user_id", "item_id", "score"]
     result = top_k(keep(itemcf_neighbours(model, hist)).select(*columns), k)

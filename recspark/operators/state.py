@@ -42,8 +42,9 @@ def state_from_history(hist: DataFrame, items: DataFrame, n_genres: int = 3) ->
     )
 
 
-def _values(patches: DataFrame, field: str, key: str) -> DataFrame:
-    return patches.select(key, F.lit(field).alias("field"), F.explode(field).cast("string").alias("value"))
+def _tagged(field: str) -> F.Column:
+    """The values of one set column as (field, value) structs."""
+    return F.transform(F.col(field), lambda v: F.struct(F.lit(field).alias("field"), v.cast("string").alias("value")))
 
 
 def fold_preferences(patches: DataFrame, key: str = "session_id", order: str = "turn") -> DataFrame:
@@ -62,12 +63,15 @@ def fold_preferences(patches: DataFrame, key: str = "session_id", order: str = "
     checked = last.filter(
         F.when(bad, F.raise_error(F.lit("year_min cannot be greater than year_max"))).otherwise(F.lit(True))
     )
-    soft_from = patches.join(last.select(key, "since"), key).filter(F.col("since").isNull() | (F.col(order) >= F.col("since")))
-    parts = [_values(patches, f, key) for f in (*ID_FIELDS, *HARD_GENRES)]
-    parts += [_values(soft_from, f, key) for f in SOFT_GENRES]
-    sets = parts[0]
-    for part in parts[1:]:
-        sets = sets.unionByName(part)
+    current = F.col("since").isNull() | (F.col(order) >= F.col("since"))
+    nothing = F.filter(_tagged(SOFT_GENRES[0]), lambda _: F.lit(False))
+    lasting = [_tagged(f) for f in (*ID_FIELDS, *HARD_GENRES)]
+    soft = [F.when(current, _tagged(f)).otherwise(nothing) for f in SOFT_GENRES]
+    sets = (
+        patches.join(last.select(key, "since"), key)
+        .select(key, F.explode(F.concat(*lasting, *soft)).alias("v"))
+        .select(key, "v.field", "v.value")
+    )
     defaults = {"requested_count": F.lit(DEFAULT_COUNT), "ranking_mode": F.lit(DEFAULT_MODE)}
     scalar_map = F.array(
         *[

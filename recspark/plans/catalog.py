@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from recspark.plans import base_queries  # noqa: F401  (registers its queries)
+from recspark.plans import base_queries, state_queries, route_queries  # noqa: F401  (they register their queries)
 from recspark.plans.context import QUERIES
 from recspark.plans.oracle import ORACLES
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from recspark.functions.ordering import numbered
 from recspark.functions.portable import epoch_seconds
 from recspark.sources.files import with_text
 
@@ -77,19 +78,17 @@ def item_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One preference patch per event, in session order."""
+    """One preference patch per event; ``turn`` numbers a session's events in time order."""
     events = table(spark, sf_dir, "events")
     key = F.get_json_object("props", "$.k").cast("bigint")
-    w = Window.partitionBy("session_id").orderBy("event_time", "event_id")
     genre = items(spark, sf_dir).select(F.col("item_id").alias("k"), F.element_at("genres", 1).alias("g"))
-    base = (
-        events.select(
-            F.col("user_id").alias("session_id"), F.col("ts").alias("event_time"), "event_id", "event_type", key.alias("k")
-        )
-        .withColumn("turn", F.row_number().over(w))
-        .join(genre, "k", "left")
+    base = events.select(
+        F.col("user_id").alias("session_id"), F.col("ts").alias("event_time"), "event_id", "event_type", key.alias("k"),
+        F.floor(epoch_seconds(events, "ts") / 3600).alias("hour"),
     )
-    return patch_columns(base)
+    order = [F.col("event_time"), F.col("event_id")]
+    turns = numbered(base, order, [("hour", False)], ("session_id",), "turn")
+    return patch_columns(turns.join(genre, "k", "left"))
 
 
 def patch_columns(base: DataFrame) -> DataFrame:
