@@ -96,15 +96,8 @@ def numbered_by_id(
     return numbered(coarse, [order], [("__b", descending)], partition, name).drop("__b")
 
 
-def nearest_rank(
-    df: DataFrame, value: str, positions: dict[str, float], group: Sequence[str] = (), buckets: int = 256
-) -> DataFrame:
-    """Exact value at sorted index ``min(n - 1, floor(p * n))`` per group.
-
-    This is neither an interpolated nor a discrete SQL percentile. Equal values
-    are counted together first, then cumulated bucket by bucket. NULL values are
-    left out; a group without values gives no row.
-    """
+def _order_statistics(df: DataFrame, value: str, group: Sequence[str], buckets: int) -> tuple[DataFrame, list[str]]:
+    """Distinct values with their running count and the group total, cumulated bucket by bucket."""
     keys = list(group) or ["__all"]
     present = df.filter(F.col(value).isNotNull())
     if not group:
@@ -121,9 +114,37 @@ def nearest_rank(
     )
     inside = Window.partitionBy(*keys, "__b").orderBy("__v")
     running = coarse.join(offsets, [*keys, "__b"]).withColumn("__upto", F.col("__before") + F.sum("__c").over(inside))
+    return running, keys
+
+
+def nearest_rank(
+    df: DataFrame, value: str, positions: dict[str, float], group: Sequence[str] = (), buckets: int = 256
+) -> DataFrame:
+    """Exact value at sorted index ``min(n - 1, floor(p * n))`` per group.
+
+    This is neither an interpolated nor a discrete SQL percentile. NULL values
+    are left out; a group without values gives no row.
+    """
+    running, keys = _order_statistics(df, value, group, buckets)
     picks = []
     for label, p in positions.items():
         index = F.least(F.col("__total") - 1, F.floor(F.lit(p) * F.col("__total")))
         picks.append(F.min(F.when(F.col("__upto") > index, F.col("__v"))).alias(label))
     result = running.groupBy(*keys).agg(*picks)
     return result if group else result.drop("__all")
+
+
+def linear_percentile(
+    df: DataFrame, value: str, positions: dict[str, float], group: Sequence[str] = (), buckets: int = 256
+) -> DataFrame:
+    """Exact percentile with linear interpolation between the two nearest order statistics."""
+    running, keys = _order_statistics(df, value, group, buckets)
+    picks = []
+    for label, p in positions.items():
+        at = F.lit(p) * (F.col("__total") - 1)
+        low = F.min(F.when(F.col("__upto") > F.floor(at), F.col("__v")))
+        high = F.min(F.when(F.col("__upto") > F.ceil(at), F.col("__v")))
+        share = F.max(at - F.floor(at))
+        picks.append((low + share * (high - low)).alias(label))
+    result = running.groupBy(*keys).agg(*picks)
+    return result if group else result.drop("__all")

@@ -153,3 +153,55 @@ def recent_history(hist: DataFrame, n: int = 10) -> DataFrame:
 
 def recent_itemcf(model: ItemCF, hist: DataFrame, candidates: DataFrame, n: int = 10) -> DataFrame:
     return itemcf_score(model, recent_history(hist, n), candidates)
+
+
+def held_out_retrieve(model: ItemCF, rows: DataFrame, hist: DataFrame, users: DataFrame, items: DataFrame, k: int = 100,
+                      threshold: int = POSITIVE_THRESHOLD) -> DataFrame:
+    """ItemCF of every case as if the case user's unseen rows were not in the fit.
+
+    ``model`` is fitted on all ``rows``. A user's liked items outside ``hist``
+    are hidden: such an item loses this user's rows from its popularity and one
+    co-like with every history item. That corrects the finished sums of just the
+    hidden (user, item) pairs, so nothing is refitted per case.
+    """
+    seen = hist.select("user_id", "item_id").distinct()
+    likes = positives(rows, threshold).groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("own"))
+    hidden = likes.join(users.select("user_id"), "user_id", "left_semi").join(seen, ["user_id", "item_id"], "left_anti")
+    pop = model.pop
+    weight = (
+        seen.join(likes, ["user_id", "item_id"], "left_semi")
+        .join(pop, "item_id")
+        .groupBy("user_id")
+        .agg(F.sum(1 / F.sqrt("popularity")).alias("w"))
+    )
+    fixed = (
+        itemcf_neighbours(model, seen)
+        .join(hidden, ["user_id", "item_id"], "left")
+        .join(weight, "user_id", "left")
+        .join(pop, "item_id")
+    )
+    left = F.col("popularity") - F.col("own")
+    less = (F.col("score") * F.sqrt("popularity") - F.col("w")) / F.sqrt(left)
+    score = F.when(F.col("own").isNull(), F.col("score")).when(left > 0, less)
+    scored = fixed.select("user_id", "item_id", score.alias("score")).filter(F.round("score", 9) > 0)
+    lonely = users.select("user_id").join(scored.select("user_id").distinct(), "user_id", "left_anti")
+    popular = lonely_popular(lonely, pop, hidden, seen, items, k)
+    return top_k(scored.join(items.select("item_id"), "item_id", "left_semi").unionByName(popular), k)
+
+
+def lonely_popular(lonely: DataFrame, pop: DataFrame, hidden: DataFrame, seen: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """Popularity fallback with the user's own hidden rows taken off.
+
+    Only hidden items change, and only downwards: the first ``k`` unseen items
+    that are not hidden, plus the hidden ones, hold the top ``k``.
+    """
+    order = catalog_order(items.join(pop, "item_id", "left_semi"), pop)
+    skip = seen.unionByName(hidden.select("user_id", "item_id"))
+    stable = first_unseen(lonely, order, skip, k).select("user_id", "item_id", "score")
+    own = (
+        hidden.join(lonely, "user_id", "left_semi")
+        .join(pop, "item_id")
+        .select("user_id", "item_id", (F.col("popularity") - F.col("own")).cast("double").alias("score"))
+        .filter("score > 0")
+    )
+    return stable.unionByName(own)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 CTES: dict[str, tuple[str, str]] = {}
-ORACLES: dict[str, str] = {}
+SELECTS: dict[str, tuple[str, str]] = {}
 
 
 def cte(name: str, needs: str, sql: str) -> None:
@@ -23,11 +23,18 @@ def with_ctes(needs: str, select: str) -> str:
 
     for name in needs.split():
         visit(name)
+    select = select.strip()
     if not order:
         return select
-    body = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1].strip()})" for n in order)
-    return f"WITH {body}\n{select.strip()}"
+    parts = [f"{n} AS MATERIALIZED ({CTES[n][1].strip()})" for n in order]
+    if select.upper().startswith("WITH "):
+        return "WITH " + ",\n".join(parts) + ",\n" + select[5:]
+    return "WITH " + ",\n".join(parts) + "\n" + select
 
 
 def oracle(name: str, needs: str, select: str) -> None:
-    ORACLES[name] = with_ctes(needs, select)
+    SELECTS[name] = (needs, select)
+
+
+def all_sql() -> dict[str, str]:
+    return {name: with_ctes(needs, select) for name, (needs, select) in SELECTS.items()}
