@@ -19,13 +19,22 @@ from recspark.session import stored
 QUERY_BLOCK, ITEM_BLOCK = 2048, 4096
 
 
+def divided(values: Column, by: Column) -> Column:
+    """Every array element divided by one scalar, which is computed once per row.
+
+    Inside a plain ``transform`` the optimizer would inline the scalar into the
+    lambda and evaluate it again for every element.
+    """
+    return F.zip_with(values, F.array_repeat(by, F.size(values)), lambda v, n: v / n)
+
+
 def unit(vector: Column) -> Column:
     """L2-normalized vector in double precision; a zero or non-finite vector raises."""
     values = F.transform(vector, lambda v: v.cast("double"))
     norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v * v))
     usable = norm.isNotNull() & (norm > 0) & ~F.isnan(norm) & (norm < F.lit(float("inf")))
     checked = F.when(usable, norm).otherwise(F.raise_error(F.lit("embeddings must be finite and non-zero")).cast("double"))
-    return F.transform(values, lambda v: v / checked)
+    return divided(values, checked)
 
 
 def embed_normalize(df: DataFrame, encoder: Callable[[Column], Column] | None = None, source: str = "text",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from recspark.operators.dense import block_topk
+from recspark.operators.dense import block_topk, divided
 
 # fixed value: what counts as a token of lower-cased text
 TOKEN_PATTERN = "[a-z0-9]+"
@@ -33,10 +33,10 @@ def vectorize(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     weighted = counts.join(idf, "token").select(key, "token", (F.col("tf") * F.col("idf")).alias("w"))
     packed = weighted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("token", "w"))).alias("p"))
     norm = F.sqrt(F.aggregate("p", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
-    return packed.withColumn("norm", norm).select(
+    return packed.select(
         key,
         F.transform("p", lambda e: e["token"]).alias("tokens"),
-        F.transform("p", lambda e: e["w"] / F.col("norm")).alias("weights"),
+        divided(F.transform("p", lambda e: e["w"]), norm).alias("weights"),
     )
 
 

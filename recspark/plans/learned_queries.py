@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recspark.operators import als, bpr, candidates, gates, graph, ltr, splits
+from recspark.operators import als, bpr, candidates, dense, graph, ltr, splits
 from recspark.plans.context import Inputs, longs, query, rounded
 from recspark.plans.oracle import cte, oracle
 from recspark.plans.route_queries import Routes, feature_table
 from recspark.session import scratch_path, stored
 from recspark.sources import testdata
-from recspark.streaming.preferences import latest_states, preference_stream
+from recspark.streaming.preferences import preference_stream
 
 # --- training matrix ----------------------------------------------------------
 
@@ -111,8 +111,6 @@ def _als_mllib(x: Inputs):
 @query("als_scoring")
 def _als_scoring(x: Inputs):
     """The scoring half of fold-in retrieval on given factors: normalized embeddings stand in."""
-    from recspark.operators import dense
-
     vectors = dense.embed_normalize(testdata.item_embeddings(x.spark, x.sf_dir)).select("item_id", F.col("embedding").alias("factor"))
     users = x.users.select("user_id", F.col("user_id").alias("item_id")).join(vectors, "item_id").select("user_id", "factor")
     top = bpr.factor_topk(users, vectors, x.items, 10, x.seen)
@@ -122,7 +120,7 @@ def _als_scoring(x: Inputs):
 oracle("als_scoring", "users items vec seen", """
 SELECT user_id, item_id, rank, round(score, 6) AS score FROM (
   SELECT s.*, i.item_id, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, i.item_id) AS rank FROM (
-    SELECT u.user_id, v.vec_id, list_dot_product(a.v, v.v) AS score
+    SELECT u.user_id, v.vec_id, array_inner_product(a.v::DOUBLE[64], v.v::DOUBLE[64]) AS score
     FROM users u JOIN vec a ON a.vec_id = u.user_id % (SELECT count(*) FROM vec) CROSS JOIN vec v WHERE u.user_id IN (SELECT item_id FROM items)) s
   JOIN items i ON i.item_id % (SELECT count(*) FROM vec) = s.vec_id
   WHERE NOT EXISTS (SELECT 1 FROM seen z WHERE z.user_id = s.user_id AND z.item_id = i.item_id)) WHERE rank <= 10""")
@@ -139,12 +137,14 @@ WITH pos AS MATERIALIZED (SELECT user_id, item_id FROM legal WHERE rating >= 4),
 us AS MATERIALIZED (SELECT user_id, row_number() OVER (ORDER BY user_id) AS u FROM (SELECT DISTINCT user_id FROM pos)),
 its AS MATERIALIZED (SELECT item_id, row_number() OVER (ORDER BY item_id) AS i FROM (SELECT DISTINCT item_id FROM pos)),
 pl AS MATERIALIZED (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS p, count(*) OVER (PARTITION BY user_id) AS size FROM pos),
-d AS MATERIALIZED (SELECT r AS draw_id, us.user_id FROM range((SELECT count(*) FROM pos)) t(r)
-  JOIN us ON us.u = ('0x' || substr(md5(concat_ws('|', 42, 3, 'user', r)), 1, 8))::BIGINT % (SELECT count(*) FROM us) + 1),
-c AS MATERIALIZED (SELECT d.draw_id, d.user_id, pl.item_id AS positive_item FROM d JOIN pl ON pl.user_id = d.user_id
-  AND pl.p = ('0x' || substr(md5(concat_ws('|', 42, 3, 'positive', d.draw_id)), 1, 8))::BIGINT % pl.size + 1),
-n AS (SELECT c.*, a.r AS attempt, its.item_id FROM c CROSS JOIN range(1, 7) a(r)
-  JOIN its ON its.i = ('0x' || substr(md5(concat_ws('|', 42, 3, 'negative', c.draw_id, a.r)), 1, 8))::BIGINT % (SELECT count(*) FROM its) + 1)
+d0 AS MATERIALIZED (SELECT r AS draw_id, ('0x' || substr(md5(concat_ws('|', 42, 3, 'user', r)), 1, 8))::BIGINT % (SELECT count(*) FROM us) + 1 AS u FROM range((SELECT count(*) FROM pos)) t(r)),
+sz AS MATERIALIZED (SELECT user_id, max(size) AS size FROM pl GROUP BY user_id),
+d AS MATERIALIZED (SELECT d0.draw_id, us.user_id, ('0x' || substr(md5(concat_ws('|', 42, 3, 'positive', d0.draw_id)), 1, 8))::BIGINT % sz.size + 1 AS p
+  FROM d0 JOIN us USING (u) JOIN sz USING (user_id)),
+c AS MATERIALIZED (SELECT d.draw_id, d.user_id, pl.item_id AS positive_item FROM d JOIN pl USING (user_id, p)),
+n0 AS MATERIALIZED (SELECT c.*, a.r AS attempt, ('0x' || substr(md5(concat_ws('|', 42, 3, 'negative', c.draw_id, a.r)), 1, 8))::BIGINT % (SELECT count(*) FROM its) + 1 AS i
+  FROM c CROSS JOIN range(1, 7) a(r)),
+n AS MATERIALIZED (SELECT n0.*, its.item_id FROM n0 JOIN its USING (i))
 SELECT draw_id, user_id, positive_item, arg_min(item_id, attempt) AS negative_item FROM n
 WHERE attempt > 5 OR NOT EXISTS (SELECT 1 FROM pos z WHERE z.user_id = n.user_id AND z.item_id = n.item_id)
 GROUP BY draw_id, user_id, positive_item""")

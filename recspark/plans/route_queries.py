@@ -90,7 +90,7 @@ SELECT user_id, list_transform(v, lambda e: e / sqrt(list_sum(list_transform(v,
       WHERE s.user_id IN (SELECT user_id FROM goals)) GROUP BY ALL) GROUP BY user_id)""")
 cte("denserank", "uservec vec items seen", """
 SELECT s.user_id, i.item_id, s.score, row_number() OVER (PARTITION BY s.user_id ORDER BY round(s.score, 9) DESC, i.item_id) AS rank
-FROM (SELECT u.user_id, v.vec_id, list_dot_product(u.v, v.v) AS score FROM uservec u CROSS JOIN vec v) s
+FROM (SELECT u.user_id, v.vec_id, array_inner_product(u.v::DOUBLE[64], v.v::DOUBLE[64]) AS score FROM uservec u CROSS JOIN vec v) s
 JOIN items i ON i.item_id % (SELECT count(*) FROM vec) = s.vec_id
 WHERE NOT EXISTS (SELECT 1 FROM seen z WHERE z.user_id = s.user_id AND z.item_id = i.item_id)""")
 cte("cfeval", "cfrank goals", f"SELECT * FROM cfrank WHERE rank <= {DEPTH} AND user_id IN (SELECT user_id FROM goals)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from recspark.operators.state import DEFAULT_COUNT, DEFAULT_MODE, HARD_GENRES, ID_FIELDS, SCALARS, SOFT_GENRES
@@ -46,7 +46,7 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
                     scalars[f] = (turn, value)
     soft = {s for s in soft if s[1] >= since}
     state.update((since, last, sorted(soft), sorted(fixed), sorted((f, t, v) for f, (t, v) in scalars.items())))
-    if not state.hasTimedOut and newest is not None and newest > state.getCurrentWatermarkMs():
+    if newest is not None and newest > state.getCurrentWatermarkMs():
         state.setTimeoutTimestamp(newest + IDLE_MS)
     defaults = {"requested_count": str(DEFAULT_COUNT), "ranking_mode": DEFAULT_MODE}
     rows = set(fixed) | {(f, v) for f, _, v in soft}
@@ -68,9 +68,3 @@ def preference_stream(patches: DataFrame, watermark: str = "1 day") -> DataFrame
     return source.groupBy("session_id").applyInPandasWithState(
         _advance, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
-
-
-def latest_states(outputs: DataFrame) -> DataFrame:
-    """Collected stream output to the final state: the rows of each session's last turn count."""
-    last = outputs.groupBy("session_id").agg(F.max("turn").alias("turn"))
-    return outputs.join(last, ["session_id", "turn"], "left_semi").select("session_id", "field", "value").distinct()
