@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recspark.operators import als, bpr, candidates, dense, graph, ltr, splits
+from recspark.plans import registry
 from recspark.plans.context import Inputs, longs, query, rounded
 from recspark.plans.oracle import cte, oracle
 from recspark.plans.route_queries import Routes, feature_table
@@ -224,3 +225,19 @@ def _preference_stream(x: Inputs):
 
 
 oracle("preference_stream", "folded", "SELECT session_id, field, value FROM folded")
+
+
+@query("evaluate_methods")
+def _evaluate_methods(x: Inputs):
+    """Every direct scorer of the registry on the validation users."""
+    params = {
+        "als_direct": {"rank": 8, "iterations": 1},
+        "bpr_mf": {"rank": 4, "epochs": 1, "draws_per_user": 10},
+        "lightgcn": {"rank": 4, "layers": 2, "epochs": 1, "draws_per_user": 10},
+    }
+    split = registry.Split(x.legal_positives, x.seen, x.goals.select("user_id"), x.items, params)
+    rows, _ = registry.evaluate(list(registry.SCORERS), split, x.goals)
+    return rows.groupBy("method").agg(
+        F.count(F.lit(1)).alias("users"), F.avg("ndcg_at_10").alias("ndcg_at_10"), F.avg("recall_at_10").alias("recall_at_10"),
+        F.avg(F.col("constraint_satisfied").cast("double")).alias("constraint_rate"),
+    )
