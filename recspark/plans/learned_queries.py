@@ -121,7 +121,7 @@ def _als_scoring(x: Inputs):
 oracle("als_scoring", "users items vec seen", """
 SELECT user_id, item_id, rank, round(score, 6) AS score FROM (
   SELECT s.*, i.item_id, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, i.item_id) AS rank FROM (
-    SELECT u.user_id, v.vec_id, array_inner_product(a.v::DOUBLE[64], v.v::DOUBLE[64]) AS score
+    SELECT u.user_id, v.vec_id, array_inner_product(a.a, v.a) AS score
     FROM users u JOIN vec a ON a.vec_id = u.user_id % (SELECT count(*) FROM vec) CROSS JOIN vec v WHERE u.user_id IN (SELECT item_id FROM items)) s
   JOIN items i ON i.item_id % (SELECT count(*) FROM vec) = s.vec_id
   WHERE NOT EXISTS (SELECT 1 FROM seen z WHERE z.user_id = s.user_id AND z.item_id = i.item_id)) WHERE rank <= 10""")

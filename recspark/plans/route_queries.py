@@ -79,18 +79,20 @@ WHERE round(score, 9) > 0 AND NOT EXISTS (SELECT 1 FROM seen z WHERE z.user_id =
 profile_cte("profile20", 20, *BASELINE)
 semantic_cte("semrank", "profile20")
 cte("vec", "", """
-SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda z: z::DOUBLE * z::DOUBLE)))) AS v
-FROM embeddings""")
+SELECT vec_id, v, v::DOUBLE[64] AS a FROM (
+  SELECT vec_id, list(x / norm ORDER BY pos) AS v FROM (
+    SELECT vec_id, pos, x, sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS norm FROM (
+      SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS pos FROM embeddings)) GROUP BY vec_id)""")
 cte("uservec", "seen vec goals", """
-SELECT user_id, list_transform(v, lambda e: e / sqrt(list_sum(list_transform(v, lambda z: z * z)))) AS v FROM (
-  SELECT user_id, list(m ORDER BY pos) AS v FROM (
+SELECT user_id, list(m / norm ORDER BY pos)::DOUBLE[64] AS a FROM (
+  SELECT user_id, pos, m, sqrt(sum(m * m) OVER (PARTITION BY user_id)) AS norm FROM (
     SELECT user_id, pos, avg(e) AS m FROM (
       SELECT s.user_id, unnest(v.v) AS e, unnest(range(64)) AS pos
       FROM seen s JOIN vec v ON v.vec_id = s.item_id % (SELECT count(*) FROM vec)
-      WHERE s.user_id IN (SELECT user_id FROM goals)) GROUP BY ALL) GROUP BY user_id)""")
+      WHERE s.user_id IN (SELECT user_id FROM goals)) GROUP BY ALL)) GROUP BY user_id""")
 cte("denserank", "uservec vec items seen", """
 SELECT s.user_id, i.item_id, s.score, row_number() OVER (PARTITION BY s.user_id ORDER BY round(s.score, 9) DESC, i.item_id) AS rank
-FROM (SELECT u.user_id, v.vec_id, array_inner_product(u.v::DOUBLE[64], v.v::DOUBLE[64]) AS score FROM uservec u CROSS JOIN vec v) s
+FROM (SELECT u.user_id, v.vec_id, array_inner_product(u.a, v.a) AS score FROM uservec u CROSS JOIN vec v) s
 JOIN items i ON i.item_id % (SELECT count(*) FROM vec) = s.vec_id
 WHERE NOT EXISTS (SELECT 1 FROM seen z WHERE z.user_id = s.user_id AND z.item_id = i.item_id)""")
 cte("cfeval", "cfrank goals", f"SELECT * FROM cfrank WHERE rank <= {DEPTH} AND user_id IN (SELECT user_id FROM goals)")
