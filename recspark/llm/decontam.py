@@ -95,13 +95,13 @@ def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 ORACLE = r"""
 WITH iw AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS w FROM benchmark
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark
 ), ig AS (
   SELECT DISTINCT item_id, least(len(w), 5) AS n, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS g
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM iw WHERE len(w) > 0)
 ), iq AS (SELECT item_id, count(*) AS q FROM ig GROUP BY item_id),
 dw AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents
 ), dg AS (
   SELECT DISTINCT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS g
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM ig) WHERE len(w) >= n)

@@ -137,23 +137,23 @@ def oracle(share: float = 0.6) -> str:
     """The same rows in DuckDB: every start is compared, without anchors."""
     text = lambda s: "[" + ", ".join(f"'{w}'" for w in s.split()) + "]"
     hit = lambda label, phrase: (
-        f"list_filter(range(0, len(w)), s -> w[s + 1] = '{phrase.split()[0]}' AND w[s + 1 : s + {len(phrase.split())}] = {text(phrase)})")
-    parts = [f"list_transform({hit(label, phrase)}, s -> {{'label': '{label}', 'start': s, 'score': 1.0::DOUBLE, 'base': true}})" for phrase, label in BASE]
+        f"list_filter(range(0, len(w)), lambda s: w[s + 1] = '{phrase.split()[0]}' AND w[s + 1 : s + {len(phrase.split())}] = {text(phrase)})")
+    parts = [f"list_transform({hit(label, phrase)}, lambda s: {{'label': '{label}', 'start': s, 'score': 1.0::DOUBLE, 'base': true}})" for phrase, label in BASE]
     for label, phrase, before, whole in TEMPLATES:
         n = len(whole.split())
-        share_of = f"len(list_filter(range(1, {n + 1}), i -> {text(whole)}[i] = w[s - {before} + i] AND s - {before} + i > 0)) / {n}.0::DOUBLE"
-        parts.append(f"list_filter(list_transform({hit(label, phrase)}, s -> {{'label': '{label}', 'start': s, 'score': {share_of}, 'base': false}}), x -> x.score >= {share})")
+        share_of = f"len(list_filter(range(1, {n + 1}), lambda i: {text(whole)}[i] = w[s - {before} + i] AND s - {before} + i > 0)) / {n}.0::DOUBLE"
+        parts.append(f"list_filter(list_transform({hit(label, phrase)}, lambda s: {{'label': '{label}', 'start': s, 'score': {share_of}, 'base': false}}), lambda x: x.score >= {share})")
     joined = parts[0]
     for p in parts[1:]:
         joined = f"list_concat({joined}, {p})"
-    names = lambda h: f"array_to_string(list_sort(list_distinct(list_transform({h}, x -> x.label))), ',')"
+    names = lambda h: f"array_to_string(list_sort(list_distinct(list_transform({h}, lambda x: x.label))), ',')"
     return rf"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
 ), h AS (SELECT doc_id, len(w) AS n_words, {joined} AS hits FROM d
-), b AS (SELECT *, list_filter(hits, x -> x.base) AS base FROM h)
+), b AS (SELECT *, list_filter(hits, lambda x: x.base) AS base FROM h)
 SELECT doc_id, n_words::BIGINT AS n_words, len(base)::BIGINT AS n_base,
-  list_min(list_transform(base, x -> x.start))::BIGINT AS first_word, list_max(list_transform(base, x -> x.start))::BIGINT AS last_word,
+  list_min(list_transform(base, lambda x: x.start))::BIGINT AS first_word, list_max(list_transform(base, lambda x: x.start))::BIGINT AS last_word,
   coalesce({names('base')}, '') AS base_labels, coalesce({names('hits')}, '') AS labels,
-  coalesce(list_max(list_transform(hits, x -> x.score)), 0.0::DOUBLE) AS score
+  coalesce(list_max(list_transform(hits, lambda x: x.score)), 0.0::DOUBLE) AS score
 FROM b"""

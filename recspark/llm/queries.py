@@ -76,10 +76,10 @@ QUERIES = {f.__name__: f for f in (
 #: Links of vectors by plain pairs; components follow links in both directions.
 EMBEDDING_SQL = """
 WITH RECURSIVE u AS (
-  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
 ), ok AS (
   SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM u
-  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0
+  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0
 ), l AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
   ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.95
