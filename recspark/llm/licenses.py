@@ -111,7 +111,10 @@ def scan(
 
         return F.filter(F.transform(places(words, phrase, frequency), lambda s: found(label, s, aligned(s), False)), lambda x: x["score"] >= share)
 
-    hits = [F.transform(places(words, phrase, frequency), lambda s, _l=label: found(_l, s, F.lit(1.0), True)) for phrase, label in BASE]
+    def base_hits(label: str, phrase: str) -> Column:
+        return F.transform(places(words, phrase, frequency), lambda s: found(label, s, F.lit(1.0), True))
+
+    hits = [base_hits(label, phrase) for phrase, label in BASE]
     hits += [template_hits(*t) for t in TEMPLATES]
     empty = F.array().cast("array<struct<label:string,start:int,score:double,base:boolean>>")
     return gated.select("doc_id", "n_words", F.when(F.size(words) > 0, F.concat(*hits)).otherwise(empty).alias("hits"))
@@ -137,7 +140,7 @@ def oracle(share: float = 0.6) -> str:
     """The same rows in DuckDB: every start is compared, without anchors."""
     text = lambda s: "[" + ", ".join(f"'{w}'" for w in s.split()) + "]"
     hit = lambda label, phrase: (
-        f"list_filter(range(0, len(w)), lambda s: w[s + 1] = '{phrase.split()[0]}' AND w[s + 1 : s + {len(phrase.split())}] = {text(phrase)})")
+        f"list_filter(CASE WHEN list_has_all(w, {text(phrase)}) THEN range(0, len(w)) ELSE [] END, lambda s: w[s + 1] = '{phrase.split()[0]}' AND w[s + 1 : s + {len(phrase.split())}] = {text(phrase)})")
     parts = [f"list_transform({hit(label, phrase)}, lambda s: {{'label': '{label}', 'start': s, 'score': 1.0::DOUBLE, 'base': true}})" for phrase, label in BASE]
     for label, phrase, before, whole in TEMPLATES:
         n = len(whole.split())
