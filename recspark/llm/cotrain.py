@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from recspark.llm.common import WordCache, slices
 
-DIMENSIONS = 1 << 15
+DIMENSIONS = 1 << 20
 SHARES = 9
 TARGETS = ("quality", "toxic")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -88,37 +88,63 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Logistic:
-    """L2-regularised logistic regression with classes of equal weight, by Adam on all rows."""
+    """L2-regularised logistic regression with classes of equal weight, by Adam on all rows.
+
+    Dense columns are standardised. Of the ``size`` slots those stay that ``rarest`` rows
+    hold at least and whose chi-square with the label is ``least`` or more."""
 
     size: int
     dense: int
-    w: np.ndarray = field(init=False)
-    v: np.ndarray = field(init=False)
+    slots: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    w: np.ndarray = field(default_factory=lambda: np.empty(0))
+    v: np.ndarray = field(default_factory=lambda: np.empty(0))
     b: float = 0.0
-
-    def fit(self, x: Rows, y: np.ndarray, decay: float = 1e-3, steps: int = 150, rate: float = 0.05, rarest: int = 4) -> Logistic:
-        counts = np.bincount(x.slots, minlength=self.size)
-        used = counts >= rarest  # slots of a few rows only tell those rows apart
-        mask = used[x.slots]
-        slots, row = x.slots[mask], x.row_of()[mask]
-        n = len(y)
+    mean: np.ndarray = field(default_factory=lambda: np.empty(0))
+    width: np.ndarray = field(default_factory=lambda: np.empty(0))
+
+    def _select(self, x: Rows, y: np.ndarray, rarest: int, least: float) -> np.ndarray:
+        positive = y[x.row_of()] == 1
+        a = np.bincount(x.slots[positive], minlength=self.size).astype(float)
+        b = np.bincount(x.slots[~positive], minlength=self.size).astype(float)
+        n, p = len(y), max(1.0, y.sum())
+        q = max(1.0, n - y.sum())
+        chi = n * (a * (q - b) - b * (p - a)) ** 2 / (np.maximum(1.0, (a + b) * (n - a - b)) * p * q)
+        return np.flatnonzero((a + b >= rarest) & (chi >= least))
+
+    def _placed(self, x: Rows) -> tuple[np.ndarray, np.ndarray]:
+        """Positions among the chosen slots, and their rows."""
+        if not len(self.slots):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.slots, x.slots), len(self.slots) - 1)
+        ok = self.slots[at] == x.slots
+        return at[ok], x.row_of()[ok]
+
+    def fit(self, x: Rows, y: np.ndarray, decay: float = 1e-4, steps: int = 200, rate: float = 0.05, rarest: int = 4, least: float = 10.8) -> Logistic:
+        self.slots = self._select(x, y, rarest, least) if self.size else self.slots
+        self.mean = x.dense.mean(axis=0) if self.dense else np.empty(0)
+        self.width = x.dense.std(axis=0) + 1e-9 if self.dense else np.empty(0)
+        at, row = self._placed(x)
+        z_dense, n, k = self._scaled(x), len(y), len(self.slots)
         weight = np.where(y == 1, n / (2 * max(1, y.sum())), n / (2 * max(1, n - y.sum())))
-        p = np.zeros(self.size + self.dense + 1)
+        p = np.zeros(k + self.dense + 1)
         m, s = np.zeros_like(p), np.zeros_like(p)
         for t in range(1, steps + 1):
-            z = np.bincount(row, weights=p[slots], minlength=n) + x.dense @ p[self.size : -1] + p[-1]
+            z = np.bincount(row, weights=p[at], minlength=n) + z_dense @ p[k:-1] + p[-1]
             d = (sigmoid(z) - y) * weight / n
-            g = np.concatenate([np.bincount(slots, weights=d[row], minlength=self.size), x.dense.T @ d, [d.sum()]])
+            g = np.concatenate([np.bincount(at, weights=d[row], minlength=k), z_dense.T @ d, [d.sum()]])
             g[:-1] += decay * p[:-1]
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
             p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
-        self.w, self.v, self.b = np.where(used, p[: self.size], 0.0), p[self.size : -1], float(p[-1])
+        self.w, self.v, self.b = p[:k], p[k:-1], float(p[-1])
         return self
 
+    def _scaled(self, x: Rows) -> np.ndarray:
+        return np.clip((x.dense - self.mean) / self.width, -4, 4) if self.dense else x.dense
+
     def logits(self, x: Rows) -> np.ndarray:
-        n = len(x.ends) - 1
-        return np.bincount(x.row_of(), weights=self.w[x.slots], minlength=n) + x.dense @ self.v + self.b
+        at, row = self._placed(x)
+        return np.bincount(row, weights=self.w[at], minlength=len(x.ends) - 1) + self._scaled(x) @ self.v + self.b
 
 
 @dataclass
@@ -137,9 +163,10 @@ class Target:
         return sigmoid(u * (a * text + b) + v * (c * meta + d) + w)
 
 
-def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    model = Logistic(0, z.shape[1]).fit(Rows.of([np.empty(0, np.int64)] * len(z), z), y, decay=1e-4, steps=300)
-    return model.v, model.b
+def _platt(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and offset of a logistic model on log-odds."""
+    model = Logistic(0, z.shape[1]).fit(Rows.of([np.empty(0, np.int64)] * len(z), z), y, decay=1e-3, steps=300)
+    return model.v / model.width, model.b - float(model.mean @ (model.v / model.width))
 
 
 def cotrain(
