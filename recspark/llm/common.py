@@ -61,7 +61,7 @@ def hex_sha256(value: Column) -> Column:
 class WordCache(dict):
     """A bounded memo of ``make(word)`` with two generations: words in use stay when it is full."""
 
-    def __init__(self, make: Callable, size: int = 250_000, longest: int = 48) -> None:
+    def __init__(self, make: Callable, size: int = 150_000, longest: int = 48) -> None:
         super().__init__()
         self.make, self.size, self.longest, self.old = make, size, longest, {}
 

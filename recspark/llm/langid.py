@@ -218,7 +218,8 @@ def annotate(docs: DataFrame, model: ByteCnn | None, text: str = "text") -> Data
         labels, scores = classify(model, [None if pd.isna(t) else t for t in x])
         return pd.DataFrame({"lang_pred": labels, "score": scores})
 
-    return docs.withColumn("_guess", guess(F.col(text))).select("*", "_guess.lang_pred", "_guess.score").drop("_guess")
+    # Not deterministic to the optimizer, or a filter on the guess would make it twice.
+    return docs.withColumn("_guess", guess.asNondeterministic()(F.col(text))).select("*", "_guess.lang_pred", "_guess.score").drop("_guess")
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **training) -> DataFrame:
