@@ -123,14 +123,15 @@ def _calibrated(union: DataFrame, routes: list[str], calibration: str) -> DataFr
 
 def candidate_features(
     union: DataFrame, items: DataFrame, hist: DataFrame, stats: DataFrame, states: DataFrame, recent: DataFrame | None = None,
-    calibration: str = "raw", version: str = "v1",
+    calibration: str = "raw", version: str = "v1", marks: DataFrame | None = None,
 ) -> DataFrame:
     """One DOUBLE column per feature for every candidate on the catalog.
 
     ``hist`` are the user's legal history rows, ``stats`` the legal training
-    rows behind the popularity counts, ``states`` the liked genres. Popularity
-    and the per-user profile are computed once for all users. Liked ids never
-    occur among candidates, so the affinity has no item term here.
+    rows behind the popularity counts, ``states`` the liked genres and, if it has
+    the column, the disliked ones; ``marks(user_id, item_id, liked, disliked)`` adds
+    the affinity's item terms. Popularity and the per-user profile are computed
+    once for all users.
     """
     if version not in FEATURES:
         raise ValueError("version must be v1, v2 or v2b")
@@ -139,18 +140,24 @@ def candidate_features(
         raise ValueError("versions v2 and v2b need a latent route")
     base = _calibrated(union, routes, calibration)
     pop = stats.filter(F.col("rating") >= POSITIVE_THRESHOLD).groupBy("item_id").agg(F.count(F.lit(1)).alias("popularity"))
+    tastes = [c for c in ("liked_genres", "disliked_genres") if c in states.columns]
     rows = (
         base.join(items.select("item_id", "genres", "year"), "item_id")
         .join(pop, "item_id", "left")
         .join(history_profile(hist, items), "user_id", "left")
-        .join(states.select("user_id", "liked_genres"), "user_id", "left")
+        .join(states.select("user_id", *tastes), "user_id", "left")
     )
+    liked_item = disliked_item = F.lit(0.0)
+    if marks is not None:
+        rows = rows.join(marks.select("user_id", "item_id", "liked", "disliked"), ["user_id", "item_id"], "left")
+        liked_item = F.coalesce(F.col("liked").cast("double"), F.lit(0.0))
+        disliked_item = F.coalesce(F.col("disliked").cast("double"), F.lit(0.0))
     no_names = F.array().cast("array<string>")
     mine = F.coalesce("hist_genres", no_names)
     union_size = F.size(F.array_union(mine, F.col("genres")))
     jaccard = F.when(union_size > 0, F.size(F.array_intersect(mine, F.col("genres"))) / union_size).otherwise(F.lit(0.0))
     year_match = F.coalesce(F.array_contains("hist_years", F.col("year")), F.lit(False)).cast("double")
-    liked = F.size(F.array_intersect("genres", F.coalesce("liked_genres", no_names)))
+    count = lambda c: F.size(F.array_intersect("genres", F.coalesce(c, no_names))) if c in tastes else F.lit(0)
     zero = F.lit(0.0)
     score = lambda r: F.coalesce(F.col(f"{r}_score"), zero)
     reciprocal = lambda r: F.coalesce(1.0 / F.col(f"{r}_rank"), zero)
@@ -162,7 +169,7 @@ def candidate_features(
         "log1p_popularity": F.log1p(F.coalesce("popularity", F.lit(0))),
         "history_genre_jaccard": jaccard,
         "history_year_match": year_match,
-        "preference_affinity": affinity(liked, F.lit(0), zero, zero),
+        "preference_affinity": affinity(count("liked_genres"), count("disliked_genres"), liked_item, disliked_item),
         "in_itemcf": F.col("in_itemcf").cast("double"),
         "in_dense": F.col("in_dense").cast("double"),
     }

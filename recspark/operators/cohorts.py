@@ -63,7 +63,9 @@ def table_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     Every row hash is cut into words that are summed, so the digest is a plain
     partial aggregate: it never sorts or gathers rows.
     """
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    # A struct as JSON quotes its values and keeps nulls, so no two rows share a text.
+    fields = F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+    text = F.to_json(fields, {"ignoreNullFields": "false"})
     words = df.select(F.sha2(text, 256).alias("h"))
     sums = [
         F.sum(F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).alias(f"s{i}") for i in range(8)

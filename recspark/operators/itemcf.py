@@ -10,41 +10,34 @@ from recspark.functions.ordering import top_k
 from recspark.operators.popularity import catalog_order, first_unseen, popularity
 from recspark.operators.splits import POSITIVE_THRESHOLD, positives
 
-MAX_HISTORY = 1000
+CHUNK = 512  # liked items that one row holds
 
 
 @dataclass(frozen=True)
 class ItemCF:
-    """``sim(src, dst, score)`` from ordinary users, and the likes of heavy users.
-
-    A user with ``h`` liked items adds ``h * (h - 1)`` pairs. Pairs are written
-    out only for users up to ``max_history``; the co-occurrence of a heavier
-    user is kept as the plain list ``heavy(heavy_id, item_id, inv)`` whose outer
-    product is applied during scoring. Scores are exact either way.
-    """
+    """``sim(src, dst, score)`` of every pair of items that some user likes, and popularity."""
 
     sim: DataFrame
     pop: DataFrame
-    heavy: DataFrame | None
 
 
-def itemcf_fit(inter: DataFrame, threshold: int = POSITIVE_THRESHOLD, max_history: int = MAX_HISTORY) -> ItemCF:
-    """Cosine of co-like counts, ``c_ij / sqrt(p_i * p_j)``; popularity counts rows, co-likes distinct items."""
+def itemcf_fit(inter: DataFrame, threshold: int = POSITIVE_THRESHOLD, chunk: int = CHUNK) -> ItemCF:
+    """Cosine of co-like counts, ``c_ij / sqrt(p_i * p_j)``; popularity counts rows, co-likes distinct items.
+
+    A user's likes are cut into chunks in item order, and each pair of chunks emits
+    its pairs of items from a row of its own. Every user takes this path, no row
+    holds more than two chunks, and the result is the same for any chunk size.
+    """
     pop = popularity(inter, threshold)
     likes = positives(inter, threshold).select("user_id", "item_id").distinct()
-    heavy_users = likes.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_history)
-    heavy = None
-    if not heavy_users.isEmpty():
-        heavy = (
-            likes.join(heavy_users.select("user_id"), "user_id", "left_semi")
-            .join(pop, "item_id")
-            .select(F.col("user_id").alias("heavy_id"), "item_id", (1 / F.sqrt("popularity")).alias("inv"))
-        )
-        likes = likes.join(heavy_users.select("user_id"), "user_id", "left_anti")
-    # at most max_history ids per array
-    baskets = likes.groupBy("user_id").agg(F.sort_array(F.collect_list("item_id")).alias("basket"))
-    left = baskets.select("basket", F.posexplode("basket").alias("i", "a"))
-    pairs = left.select("a", F.explode(F.slice("basket", F.col("i") + 2, F.size("basket"))).alias("b"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("item_id")) - 1
+    baskets = likes.withColumn("chunk", F.floor(place / chunk)).groupBy("user_id", "chunk").agg(
+        F.sort_array(F.collect_list("item_id")).alias("basket"))
+    first = baskets.select("user_id", F.col("chunk").alias("ca"), F.col("basket").alias("left"))
+    met = first.join(baskets, "user_id").where("ca <= chunk").select("ca", "chunk", "left", "basket")
+    sided = met.select("ca", "chunk", "basket", F.posexplode("left").alias("i", "a"))
+    later = F.when(F.col("ca") == F.col("chunk"), F.slice("basket", F.col("i") + 2, F.size("basket"))).otherwise(F.col("basket"))
+    pairs = sided.select("a", F.explode(later).alias("b"))
     counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
     pa = pop.select(F.col("item_id").alias("a"), F.col("popularity").alias("pa"))
     pb = pop.select(F.col("item_id").alias("b"), F.col("popularity").alias("pb"))
@@ -55,17 +48,13 @@ def itemcf_fit(inter: DataFrame, threshold: int = POSITIVE_THRESHOLD, max_histor
             F.struct(F.col("b").alias("src"), F.col("a").alias("dst")),
         )
     )
-    return ItemCF(half.select(both.alias("e"), "score").select("e.src", "e.dst", "score"), pop, heavy)
+    return ItemCF(half.select(both.alias("e"), "score").select("e.src", "e.dst", "score"), pop)
 
 
 def itemcf_neighbours(model: ItemCF, hist: DataFrame) -> DataFrame:
     """Summed similarity of every unseen neighbour of each user's history."""
     seen = hist.select("user_id", "item_id").distinct()
     parts = seen.join(model.sim, F.col("item_id") == F.col("src")).select("user_id", F.col("dst").alias("item_id"), "score")
-    if model.heavy is not None:
-        weight = seen.join(model.heavy, "item_id").groupBy("user_id", "heavy_id").agg(F.sum("inv").alias("w"))
-        extra = weight.join(model.heavy, "heavy_id").select("user_id", "item_id", (F.col("w") * F.col("inv")).alias("score"))
-        parts = parts.unionByName(extra)
     return (
         parts.groupBy("user_id", "item_id")
         .agg(F.sum("score").alias("score"))

@@ -68,11 +68,11 @@ def score_ranking(
         F.coalesce(F.bool_or("bad"), F.lit(False)).alias("bad"),
     )
     if candidates is None:
-        blocked = seen.join(items.select("item_id"), "item_id", "left_semi").select(
-            "user_id", F.col("item_id").alias("target"), F.lit(0.0).alias("candidate_recall")
-        )
-        per_user = per_user.join(blocked, ["user_id", "target"], "left")
-        recall = F.coalesce("candidate_recall", F.lit(1.0))
+        # Every catalog item the user hasn't seen competes; an item outside the catalog can't.
+        gone = seen.select("user_id", F.col("item_id").alias("target"), F.col("seen").alias("gone"))
+        listed = items.select(F.col("item_id").alias("target"), F.lit(True).alias("listed")).distinct()
+        per_user = per_user.join(gone, ["user_id", "target"], "left").join(listed, "target", "left")
+        recall = (F.col("gone").isNull() & F.col("listed").isNotNull()).cast("double")
     else:
         member = candidates.select("user_id", F.col("item_id").alias("target")).distinct().withColumn("m", F.lit(1.0))
         per_user = per_user.join(member, ["user_id", "target"], "left")

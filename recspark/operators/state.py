@@ -59,9 +59,10 @@ def fold_preferences(patches: DataFrame, key: str = "session_id", order: str = "
         F.max(F.when(F.col("replace_soft"), F.col(order))).alias("since"),
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in SCALARS],
     )
-    bad = F.col("year_min") > F.col("year_max")
-    checked = last.filter(
-        F.when(bad, F.raise_error(F.lit("year_min cannot be greater than year_max"))).otherwise(F.lit(True))
+    checked = last.join(_broken(patches, key, order), key, "left").filter(
+        F.when(F.col("broken_years"), F.raise_error(F.lit("a patch leaves year_min above year_max")))
+        .when(F.col("broken_count"), F.raise_error(F.lit(f"requested_count must be 1 to {MAX_COUNT}")))
+        .otherwise(F.lit(True))
     )
     current = F.col("since").isNull() | (F.col(order) >= F.col("since"))
     nothing = F.filter(_tagged(SOFT_GENRES[0]), lambda _: F.lit(False))
@@ -86,16 +87,20 @@ def fold_preferences(patches: DataFrame, key: str = "session_id", order: str = "
     return sets.distinct().unionByName(scalars)
 
 
+def _broken(patches: DataFrame, key: str, order: str) -> DataFrame:
+    """Per session: does the state after any patch break the year range or the count.
+
+    Only patches that set a year are ranked; the rest is a partial aggregate."""
+    so_far = Window.partitionBy(key).orderBy(order)
+    dated = patches.filter("year_min IS NOT NULL OR year_max IS NOT NULL").select(
+        key, (F.last("year_min", True).over(so_far) > F.last("year_max", True).over(so_far)).alias("bad"))
+    years = dated.groupBy(key).agg(F.bool_or("bad").alias("broken_years"))
+    counts = patches.groupBy(key).agg(F.bool_or(~F.col("requested_count").between(1, MAX_COUNT)).alias("broken_count"))
+    return counts.join(years, key, "left")
+
+
 def stateless_preferences(patches: DataFrame, key: str = "session_id", order: str = "turn") -> DataFrame:
     """Each turn applied to an empty state: ``(key, turn, field, value)``."""
     single = patches.withColumn("__turn_key", F.struct(key, order))
     folded = fold_preferences(single, "__turn_key", order)
     return folded.select(F.col(f"__turn_key.{key}").alias(key), F.col(f"__turn_key.{order}").alias(order), "field", "value")
-
-
-def apply_genre_patch(base: DataFrame, liked: str, excluded: str) -> DataFrame:
-    """Add one liked and one excluded genre to every state row."""
-    add = lambda c, v: F.array_sort(F.array_distinct(F.concat(F.col(c), F.array(F.col(v)))))
-    return base.withColumn("liked_genres", add("liked_genres", liked)).withColumn(
-        "excluded_genres", add("excluded_genres", excluded)
-    )

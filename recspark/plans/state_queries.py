@@ -198,7 +198,7 @@ def _table_fingerprint(x: Inputs):
 oracle("table_fingerprint", "inter", """
 SELECT rows, sha256(concat_ws('|', CAST(rows AS VARCHAR), """ + ", ".join(f"CAST(s{i} AS VARCHAR)" for i in range(8)) + """)) AS fingerprint FROM (
   SELECT count(*) AS rows, """ + ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT) AS s{i}" for i in range(8)) + """
-  FROM (SELECT sha256(concat_ws('|', user_id, item_id, rating, ts)) AS h FROM inter))""")
+  FROM (SELECT sha256(CAST(to_json({'c0': user_id::VARCHAR, 'c1': item_id::VARCHAR, 'c2': rating::VARCHAR, 'c3': ts::VARCHAR}) AS VARCHAR)) AS h FROM inter))""")
 
 
 @query("hard_filter")

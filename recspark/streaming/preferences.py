@@ -8,9 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from recspark.operators.state import DEFAULT_COUNT, DEFAULT_MODE, HARD_GENRES, ID_FIELDS, SCALARS, SOFT_GENRES
+from recspark.operators.state import DEFAULT_COUNT, DEFAULT_MODE, HARD_GENRES, ID_FIELDS, MAX_COUNT, SCALARS, SOFT_GENRES
 
-IDLE_MS = 30 * 24 * 3600 * 1000  # a session idle this long (event time) is dropped
 OUTPUT = "session_id bigint, turn int, field string, value string"
 # since: turn of the last soft replacement; soft: (field, turn, value); fixed: (field, value); scalars: (field, turn, value)
 STATE = (
@@ -19,7 +18,7 @@ STATE = (
 )
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None = None) -> Iterator[pd.DataFrame]:
     """Merge the new patches of one session, whatever their order, and emit the state after them."""
     if state.hasTimedOut:
         state.remove()
@@ -44,10 +43,15 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
                 if row[f] is not None and not pd.isna(row[f]) and turn >= scalars.get(f, (-1, ""))[0]:
                     value = row[f] if isinstance(row[f], str) else str(int(row[f]))
                     scalars[f] = (turn, value)
+    low, high, wanted = (scalars.get(f, (0, None))[1] for f in ("year_min", "year_max", "requested_count"))
+    if low is not None and high is not None and int(low) > int(high):
+        raise ValueError("a patch leaves year_min above year_max")
+    if wanted is not None and not 1 <= int(wanted) <= MAX_COUNT:
+        raise ValueError(f"requested_count must be 1 to {MAX_COUNT}")
     soft = {s for s in soft if s[1] >= since}
     state.update((since, last, sorted(soft), sorted(fixed), sorted((f, t, v) for f, (t, v) in scalars.items())))
-    if newest is not None and newest > state.getCurrentWatermarkMs():
-        state.setTimeoutTimestamp(newest + IDLE_MS)
+    if idle_ms is not None and newest is not None and newest + idle_ms > state.getCurrentWatermarkMs():
+        state.setTimeoutTimestamp(newest + idle_ms)
     defaults = {"requested_count": str(DEFAULT_COUNT), "ranking_mode": DEFAULT_MODE}
     rows = set(fixed) | {(f, v) for f, _, v in soft}
     rows |= {(f, scalars[f][1] if f in scalars else defaults[f]) for f in SCALARS if f in scalars or f in defaults}
@@ -57,14 +61,20 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     yield out
 
 
-def preference_stream(patches: DataFrame, watermark: str = "1 day") -> DataFrame:
+def preference_stream(patches: DataFrame, watermark: str = "1 day", idle_days: float | None = None) -> DataFrame:
     """Streaming patches to the state of each touched session after every micro-batch.
 
     The result of the last output per session equals the batch fold of all
     accepted rows. Patches may come in any order; rows older than the watermark
-    are dropped, and a session idle for 30 days of event time loses its state.
+    are dropped. A session keeps its state for good, or for ``idle_days`` of event
+    time after its last patch if given.
     """
     source = patches.withWatermark("event_time", watermark)
+    idle_ms = None if idle_days is None else int(idle_days * 24 * 3600 * 1000)
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return _advance(key, batches, state, idle_ms)
+
     return source.groupBy("session_id").applyInPandasWithState(
-        _advance, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout
+        advance, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout
     )

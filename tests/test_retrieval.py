@@ -50,11 +50,22 @@ def scores(pairs):
     return {i: s for s, i in pairs}
 
 
-@pytest.mark.parametrize("max_history", [1000, 3])
-def test_itemcf_matches_brute_force_also_with_heavy_users(spark, max_history):
+def test_fit_is_the_same_for_any_chunk(spark):
+    df, _ = random_inter(spark)
+    tables = [sorted((r["src"], r["dst"], round(r["score"], 9)) for r in itemcf.itemcf_fit(df, chunk=c).sim.collect()) for c in (512, 3, 1)]
+    assert tables[0] and tables[0] == tables[1] == tables[2]
+
+
+def test_fit_of_a_user_with_thousands_of_likes(spark):
+    n = 5000
+    wide = spark.range(n).selectExpr("1L AS user_id", "id AS item_id", "5 AS rating", "id AS ts", "struct(5 AS rating) AS row_key")
+    assert itemcf.itemcf_fit(wide).sim.count() == n * (n - 1)
+
+
+@pytest.mark.parametrize("chunk", [512, 3])
+def test_itemcf_matches_brute_force_for_any_chunk(spark, chunk):
     df, rows = random_inter(spark)
-    model = itemcf.itemcf_fit(df, max_history=max_history)
-    assert (model.heavy is None) == (max_history == 1000)
+    model = itemcf.itemcf_fit(df, chunk=chunk)
     hist = df.filter("rating >= 4 AND user_id < 10").select("user_id", "item_id").distinct()
     users = spark.range(0, 12).withColumnRenamed("id", "user_id").union(spark.createDataFrame([(99,)], "user_id bigint"))
     got = defaultdict(list)
