@@ -111,6 +111,9 @@ def test_language_on_held_out_rows(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out)
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held)
     assert all(0 <= r["score"] <= 1 for r in out)
+    model = langid.ByteCnn(["a", "b"])
+    assert langid.classify(model, ["", "123 !?", "½ ² ٣ ⅷ", None]) == (["und"] * 4, [0.0] * 4)
+    assert set(langid.classify(model, ["ª", "7中"])[0]) <= {"a", "b"}
     odd = langid.identify(docs(spark), per_label=5)
     assert {r["doc_id"]: r["lang_pred"] for r in odd.collect()}[1] == "und" and odd.count() == len(TEXTS)
     assert langid.identify(docs(spark, [])).count() == 0
