@@ -10,7 +10,7 @@ from functools import lru_cache
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once.
@@ -54,6 +54,18 @@ def map_text(
     return keyed_text(docs, key, text).mapInArrow(run, schema)
 
 
+def first_rows(rows: DataFrame, by: list[str], order: list[Column], limit: int, salts: int = 64) -> DataFrame:
+    """The ``limit`` first rows of each group of ``by``.
+
+    A group is ranked within hash parts first, so however many tasks hold rows of a
+    hot group, the one that ranks it at last reads ``salts`` x ``limit`` rows at most."""
+    part = F.pmod(F.hash(*order), F.lit(salts))
+    for parts in ([*by, "_part"], by):
+        place = F.row_number().over(Window.partitionBy(*parts).orderBy(*order))
+        rows = rows.withColumn("_part", part).withColumn("_place", place).where(F.col("_place") <= limit).drop("_part", "_place")
+    return rows
+
+
 def hex_sha256(value: Column) -> Column:
     return F.sha2(value.cast("binary"), 256)
 

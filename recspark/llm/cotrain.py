@@ -28,10 +28,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recspark.llm.common import WordCache, slices
+from recspark.llm.common import WordCache, first_rows, slices
 
 DIMENSIONS = 1 << 20
 SHARES = 9
@@ -229,11 +229,11 @@ def sample(rows: DataFrame, labels: DataFrame, per_class: int, pool: int) -> Dat
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("key")).agg(
         F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("toxic").cast("int")).alias("toxic"))
     ids = rows.where("key IS NOT NULL").select("key").distinct().join(known, "key", "left")
-    order = F.row_number().over(Window.partitionBy("quality", "toxic").orderBy(F.xxhash64("key", F.lit(23)), "key"))
-    most = F.when(F.col("quality").isNull(), pool).otherwise(per_class)
-    # The constant bound lets Spark cut each class's ranking before the shuffle.
-    chosen = ids.withColumn("n", order).where(F.col("n") <= max(per_class, pool)).where(F.col("n") <= most)
-    return rows.join(F.broadcast(chosen.drop("n")), "key")  # bounded by per_class and pool
+    order = [F.xxhash64("key", F.lit(23)), F.col("key")]
+    picked = [first_rows(part, ["quality", "toxic"], order, n) for part, n in (
+        (ids.where(F.col("quality").isNotNull()), per_class), (ids.where(F.col("quality").isNull()), pool))]
+    chosen = picked[0].unionByName(picked[1])
+    return rows.join(F.broadcast(chosen), "key")  # bounded by per_class and pool
 
 
 def fit(

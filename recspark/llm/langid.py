@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recspark.llm.common import map_text
+from recspark.llm.common import first_rows, map_text
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4, 5), 12, 8
 _LETTER = regex.compile(r"\p{L}")
@@ -125,14 +125,10 @@ def held_out(key: str = "doc_id"):
 def training_rows(docs: DataFrame, per_label: int, key: str, text: str, lang: str) -> DataFrame:
     """At most ``per_label`` learnable documents of each language, the smallest by hash.
 
-    The choice is made on ids alone; texts are read for the chosen ids only. Spark cuts
-    each language's ranking before the shuffle."""
+    The choice is made on ids alone; texts are read for the chosen ids only."""
     ids = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(
         F.col(key).alias("id"), F.col(lang).alias("label")).distinct()
-    from pyspark.sql import Window
-
-    order = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(17)), "id"))
-    chosen = ids.withColumn("n", order).where(F.col("n") <= per_label).drop("n")
+    chosen = first_rows(ids, ["label"], [F.xxhash64("id", F.lit(17)), F.col("id")], per_label)
     whole = docs.select(F.col(key).alias("id"), F.col(lang).alias("label"), F.col(text).alias("text"))
     return whole.join(F.broadcast(chosen), ["id", "label"])
 

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from recspark.llm import bpe_codec, chat, components, cotrain, decontam, hnsw, langid, licenses, pii, queries, simhash, token_counts
+from recspark.llm import bpe_codec, chat, common, components, cotrain, decontam, hnsw, langid, licenses, pii, queries, simhash, token_counts
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n_tokens string, spans int"
@@ -119,6 +119,15 @@ def test_language_on_held_out_rows(spark):
     assert langid.identify(docs(spark, [])).count() == 0
 
 
+def test_first_rows_equal_one_ranking(spark):
+    rows = [(i, "abc"[i % 7 % 3]) for i in range(500)] + [(1, None), (2, None)]
+    df = spark.createDataFrame(rows, "id long, label string")
+    got = by_text(common.first_rows(df, ["label"], [F.xxhash64("id"), F.col("id")], 9), "id", "label")
+    ranked = [(r["label"], r["h"], r["id"]) for r in df.withColumn("h", F.xxhash64("id")).collect()]
+    want = [(i, x) for label in ("a", "b", "c", None) for x, _, i in sorted((r for r in ranked if r[0] == label), key=lambda r: r[1:])[:9]]
+    assert got == sorted(want, key=repr)
+
+
 def test_language_gradients():
     model = langid.ByteCnn(["a", "b"])
     x = np.random.default_rng(1).integers(1, 255, (3, langid.WINDOW)).astype(np.uint8)
