@@ -65,12 +65,43 @@ class Inputs:
         """Validation target per evaluated user."""
         return self.targets.select("user_id", F.col("validation_item").alias("item_id"))
 
+    @cached_property
+    def fit_rows(self) -> DataFrame:
+        """The rows that every statistic and model is fitted on."""
+        return self.legal_positives
+
     @cached_property
     def model(self) -> itemcf.ItemCF:
-        fitted = itemcf.itemcf_fit(self.legal_positives)
+        fitted = itemcf.itemcf_fit(self.fit_rows)
         return replace(fitted, sim=stored(fitted.sim, "sim"), pop=stored(fitted.pop, "pop"))
 
 
+class RankerInputs(Inputs):
+    """What a learned ranker may see: rows before each user's ranker target, which is the goal.
+
+    None of a user's three targets stands in any row. ``fit_users`` limits the rows that
+    statistics are fitted on, ``goal_users`` the users that are asked."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, fit_users: DataFrame | None = None, goal_users: DataFrame | None = None):
+        super().__init__(spark, sf_dir)
+        self.fit_users, self.goal_users = fit_users, goal_users
+
+    @cached_property
+    def legal(self) -> DataFrame:
+        return splits.ranker_history(self.inter, self.targets)
+
+    @cached_property
+    def goals(self) -> DataFrame:
+        goals = self.targets.select("user_id", F.col("ranker_item").alias("item_id"))
+        return goals if self.goal_users is None else splits.restrict_users(goals, self.goal_users)
+
+    @cached_property
+    def fit_rows(self) -> DataFrame:
+        if self.fit_users is None:
+            return self.legal_positives
+        return stored(splits.restrict_users(self.legal_positives, self.fit_users), "fit")
+
+
 QUERIES: dict = {}
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from recspark.operators import als, bpr, candidates, dense, graph, ltr, splits
 from recspark.plans import registry
-from recspark.plans.context import Inputs, longs, query, rounded
+from recspark.plans.context import Inputs, RankerInputs, longs, query, rounded
 from recspark.plans.oracle import cte, oracle
-from recspark.plans.route_queries import Routes, feature_table
+from recspark.plans.route_queries import DEPTH, feature_table
 from recspark.session import scratch_path, stored
 from recspark.sources import testdata
 from recspark.streaming.preferences import preference_stream
@@ -45,11 +45,23 @@ o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(best, 9)
 SMALL_FIT = {"num_leaves": 15, "learning_rate": 0.1, "n_estimators": 5, "min_child_samples": 20}
 
 
+def features_of(x: Inputs, version: str):
+    """Candidate features; versions with a latent route take it from ALS on the same fit rows."""
+    latent = None
+    if version != "v1":
+        factors = als.als_fit(x.fit_rows, rank=8, iterations=2)
+        mine = splits.restrict_users(x.history, x.goals)
+        latent = stored(als.als_retrieve(factors, mine, 8, DEPTH, blocked=x.seen), "latent")
+    return stored(feature_table(x, version, latent=latent), "features")
+
+
 def learned(x: Inputs, version: str = "v1"):
-    names = candidates.FEATURES[version]
-    features = stored(feature_table(x, version), "features")
-    model = ltr.lambdamart_fit(ltr.training_matrix(features, x.goals), names, SMALL_FIT)
-    return features, model
+    """``(features, model)``: fitted on ranker targets and the rows before them, for use on
+    the rows before the validation targets. No fit sees what is evaluated."""
+    before = RankerInputs(x.spark, x.sf_dir)
+    matrix = ltr.training_matrix(features_of(before, version), before.goals)
+    model = ltr.lambdamart_fit(matrix, candidates.FEATURES[version], SMALL_FIT)
+    return features_of(x, version), model
 
 
 @query("lambdamart_rank")
@@ -74,18 +86,27 @@ def _validation_rows(x: Inputs):
     return out.select("user_id", *rounded(*out.columns[1:]))
 
 
+@query("learned_pipeline")
+def _learned_pipeline(x: Inputs):
+    """All 16 features with an ALS route of their own: fit on ranker targets, judged on validation targets."""
+    features, model = learned(x, "v2b")
+    out = ltr.validation_rows(features, model, x.goals)
+    return out.select("user_id", *rounded(*out.columns[1:]))
+
+
 @query("grouped_cv")
 def _grouped_cv(x: Inputs):
-    """Two settings, three whole-user folds; one fit gives both numbers of rounds."""
+    """Two settings, three whole-user folds, whose statistics only training users enter;
+    one fit gives both numbers of rounds."""
     names = candidates.FEATURES_V1
-    features = stored(feature_table(x, "v1"), "features")
-    folds = stored(splits.group_kfold(x.goals, 3), "folds")
+    folds = stored(splits.group_kfold(RankerInputs(x.spark, x.sf_dir).goals, 3), "folds")
 
     def build(fold: int):
-        train = folds.filter(F.col("fold") != fold)
-        held = folds.filter(F.col("fold") == fold)
-        part = lambda df, users: df.join(users.select("user_id"), "user_id", "left_semi")
-        return ltr.training_matrix(part(features, train), part(x.goals, train)), part(features, held), part(x.goals, held)
+        train, held = folds.filter(F.col("fold") != fold), folds.filter(F.col("fold") == fold)
+        fitted = RankerInputs(x.spark, x.sf_dir, train, train)
+        asked = RankerInputs(x.spark, x.sf_dir, train, held)
+        matrix = ltr.training_matrix(features_of(fitted, "v1"), fitted.goals)
+        return matrix, features_of(asked, "v1"), asked.goals
 
     grid = [{**SMALL_FIT, "n_estimators": n} for n in (1, 3)]
     best, rows = ltr.grouped_cv(build, names, grid)
@@ -103,12 +124,6 @@ def _als_retrieve(x: Inputs):
     return top.select("user_id", "item_id", *longs("rank"), *rounded("score"))
 
 
-@query("als_mllib")
-def _als_mllib(x: Inputs):
-    factors = als.als_fit(x.legal_positives, rank=8, iterations=2, mode="mllib")
-    return factors.select("item_id", F.size("factor").alias("rank"))
-
-
 @query("als_scoring")
 def _als_scoring(x: Inputs):
     """The scoring half of fold-in retrieval on given factors: normalized embeddings stand in."""

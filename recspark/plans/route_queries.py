@@ -294,19 +294,19 @@ LEFT JOIN seen s USING (user_id, item_id)
 LEFT JOIN (SELECT DISTINCT user_id, item_id FROM inter WHERE rating <= 2) d USING (user_id, item_id)""")
 
 
-def feature_table(x: Inputs, version: str, calibration: str = "raw"):
-    """Features of the evaluated users; the text route stands in for the latent one."""
+def feature_table(x: Inputs, version: str, calibration: str = "raw", latent=None):
+    """Features of the evaluated users; without a ``latent`` route the text route stands in for it."""
     r = Routes(x)
     routes = {"itemcf": r.itemcf(), "dense": r.dense()}
     if version != "v1":
-        routes["latent"] = r.semantic()
+        routes["latent"] = r.semantic() if latent is None else latent
     union = candidates.candidate_union(**routes)
     recent = None
     if version == "v2b":
         union = stored(union, "union")
         recent = itemcf.recent_itemcf(x.model, x.history, union)
     return candidates.candidate_features(
-        union, x.items, x.history, x.legal_positives, r.states, recent, calibration, version
+        union, x.items, x.history, x.fit_rows, r.states, recent, calibration, version
     )
 
 

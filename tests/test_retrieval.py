@@ -177,7 +177,7 @@ def test_als_solves_its_normal_equations_and_salts_agree(spark, monkeypatch):
 
 
 def test_als_rejects_bad_parameters(spark):
-    for bad in ({"rank": 0}, {"iterations": 0}, {"alpha": 0.0}, {"reg": -1.0}):
+    for bad in ({"rank": 0}, {"rank": 513}, {"iterations": 0}, {"alpha": 0.0}, {"alpha": float("nan")}, {"reg": -1.0}, {"reg": float("inf")}):
         with pytest.raises(ValueError):
             als.als_fit(als_rows(spark), **bad)
 

@@ -1,8 +1,10 @@
 """Rules that hold for odd inputs: null constraints, foreign targets, colliding texts, broken patches."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from recspark.operators import candidates, cohorts, filters, metrics, state
+from recspark.operators import candidates, cohorts, filters, ltr, metrics, splits, state
+from recspark.plans.context import Inputs, RankerInputs
 
 STATE = "user_id long, required_genres array<string>, excluded_genres array<string>, year_min int, year_max int"
 
@@ -68,3 +70,35 @@ def test_disliked_tastes_reach_the_features(spark):
     marks = spark.createDataFrame([(1, 2, True, False)], "user_id long, item_id long, liked boolean, disliked boolean")
     value = lambda **o: candidates.candidate_features(union, items(spark), hist, hist, tastes, **o).first()["preference_affinity"]
     assert value() == 0.0 and value(marks=marks) == 0.5
+
+
+def test_ranker_rows_hold_no_target(spark):
+    x = RankerInputs(spark, "/root/testdata/sf0.001")
+    hidden = x.targets.selectExpr("user_id", "explode(array(ranker_item, validation_item, test_item)) AS item_id")
+    assert hidden.count() > 0
+    assert x.fit_rows.join(hidden, ["user_id", "item_id"], "left_semi").isEmpty()
+    asked = Inputs(spark, x.sf_dir).goals
+    assert x.goals.join(asked, ["user_id", "item_id"], "left_semi").isEmpty()
+
+
+def test_folds_fit_on_training_users_alone(spark):
+    folds = splits.group_kfold(RankerInputs(spark, "/root/testdata/sf0.001").goals, 3)
+    train, held = folds.filter("fold <> 0"), folds.filter("fold = 0")
+    x = RankerInputs(spark, "/root/testdata/sf0.001", train, held)
+    assert not x.goals.isEmpty() and x.goals.join(train, "user_id", "left_semi").isEmpty()
+    assert x.fit_rows.join(held, "user_id", "left_semi").isEmpty()
+    # The held-out users' own history still asks for candidates.
+    assert not x.history.join(held, "user_id", "left_semi").isEmpty()
+    counted = {r["item_id"]: r["n"] for r in x.fit_rows.groupBy("item_id").agg(F.count("*").alias("n")).collect()}
+    own = RankerInputs(spark, x.sf_dir, train, train)
+    assert counted == {r["item_id"]: r["n"] for r in own.fit_rows.groupBy("item_id").agg(F.count("*").alias("n")).collect()}
+
+
+def test_simpler_setting_wins_ties(spark):
+    base = {"num_leaves": 15, "learning_rate": 0.1, "n_estimators": 100, "min_child_samples": 20}
+    row = lambda ndcg, recall, **p: {"ndcg": ndcg, "recall": recall, "params": {**base, **p}}
+    best = lambda *rows: ltr.choose_setting(spark, rows)
+    assert best(row(0.2, 0.1), row(0.3, 0.0, num_leaves=31))["num_leaves"] == 31
+    assert best(row(0.3, 0.1), row(0.3 + 1e-14, 0.2, num_leaves=31))["num_leaves"] == 31
+    assert best(row(0.3, 0.1, n_estimators=200), row(0.3, 0.1))["n_estimators"] == 100
+    assert best(row(0.3, 0.1), row(0.3, 0.1, min_child_samples=50))["min_child_samples"] == 50
