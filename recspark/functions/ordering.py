@@ -59,18 +59,22 @@ def numbered(
 
     ``buckets`` lists coarse columns, each with its descending flag, whose order
     agrees with ``order``. Rows are numbered inside their bucket, and the bucket
-    counts (a table bounded by the number of buckets) supply the offsets. So no
-    task sorts a whole group, however large it is.
+    counts supply the offsets, level by level: a window holds the values of one
+    coarse column inside one value of those before it. So no task sorts a whole
+    group, however large it is.
     """
     names = [b for b, _ in buckets]
     keys = [*partition, *names]
-    directed = [F.col(b).desc() if desc else F.col(b).asc() for b, desc in buckets]
-    before = Window.partitionBy(*partition).orderBy(*directed).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    )
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total = F.lit(0)
+    for level, (b, desc) in enumerate(buckets):
+        outer = [*partition, *names[:level]]
+        before = Window.partitionBy(*outer).orderBy(F.col(b).desc() if desc else F.col(b).asc()).rowsBetween(Window.unboundedPreceding, -1)
+        sums = counts if level == len(buckets) - 1 else counts.groupBy(*outer, b).agg(F.sum("__n").alias("__n"))
+        sums = sums.select(*outer, b, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(f"__before{level}"))
+        offsets = sums if level == 0 else offsets.join(sums, outer)
+        total = total + F.col(f"__before{level}")
+    offsets = offsets.select(*keys, total.alias("__before"))
     inside = Window.partitionBy(*keys).orderBy(*order)
     return (
         df.withColumn("__in", F.row_number().over(inside))

@@ -135,6 +135,20 @@ def _token_matrices(queries: pa.Table, items: pa.Table) -> tuple[np.ndarray, np.
     return left, right
 
 
+def _first_k(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of each row's ``k`` greatest finite scores; ties go to the smaller column.
+
+    The kth value splits a row, so no row is sorted."""
+    keep = scores > -np.inf
+    n = scores.shape[1]
+    if n > k:
+        least = np.partition(scores, n - k, axis=1)[:, n - k, None]
+        above, tied = scores > least, scores == least
+        room = k - above.sum(axis=1, keepdims=True)
+        keep &= above | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= room))
+    return np.nonzero(keep)
+
+
 def _block_scorer(k: int, sparse: bool, positive_only: bool, restricted: bool):
     def score(table: pa.Table) -> pa.Table:
         part = lambda kind: table.filter(pc.equal(table.column("kind"), kind))
@@ -171,11 +185,8 @@ def _block_scorer(k: int, sparse: bool, positive_only: bool, restricted: bool):
         scores[cells("b")] = -np.inf
         if positive_only:
             scores[scores <= 0] = -np.inf
-        # ids are ascending, so a stable sort breaks ties by id
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        values = np.take_along_axis(scores, best, axis=1)
-        row, col = np.nonzero(values > -np.inf)
-        return pa.table({"user_id": users[row], "item_id": ids[best[row, col]], "score": raw[row, best[row, col]]})
+        row, col = _first_k(scores, k)  # ids are ascending, so the smaller column is the smaller id
+        return pa.table({"user_id": users[row], "item_id": ids[col], "score": raw[row, col]})
 
     return score
 

@@ -1,9 +1,10 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recspark.operators import ablation, candidates, episodes, fusion, gates, ltr, metrics, quality, state
+from recspark.operators import ablation, candidates, dense, episodes, fusion, gates, ltr, metrics, quality, state
 from recspark.streaming.preferences import preference_stream
 
 ROUTE = "user_id bigint, item_id bigint, score double, rank int"
@@ -181,3 +182,36 @@ def test_stream_equals_fold_whatever_the_order(spark, tmp_path):
     got = {tuple(r) for r in out.join(last, ["session_id", "batch"], "left_semi").select("session_id", "field", "value").collect()}
     want = {tuple(r) for r in state.fold_preferences(spark.createDataFrame(rows, PATCH)).collect()}
     assert got == want
+
+
+def test_forest_scores_and_shares_of_many_trees():
+    rng = np.random.default_rng(3)
+
+    def grow(depth):
+        if not depth or rng.random() < 0.2:
+            return ltr.Node(value=float(rng.normal()), rows=int(rng.integers(1, 9)))
+        return ltr.Node("xyz"[rng.integers(3)], float(rng.normal()), grow(depth - 1), grow(depth - 1))
+
+    trees = [grow(5) for _ in range(200)]
+    for t in trees:
+        t.settle()
+    x = rng.normal(size=(50, 3))
+    x[0, 1] = np.nan
+
+    def leaf(node, row):
+        while node.feature is not None:
+            node = node.left if row["xyz".index(node.feature)] <= node.threshold else node.right
+        return node.value
+
+    forest = ltr.Forest(trees, "xyz")
+    score = forest.walk(x, False, part=7)
+    assert np.allclose(score, [sum(leaf(t, row) for t in trees) for row in x])
+    assert np.allclose(forest.walk(x, True, part=7).sum(axis=1) + sum(t.value for t in trees), score)
+
+
+def test_first_k_breaks_ties_by_column():
+    scores = np.random.default_rng(1).integers(0, 6, (40, 30)).astype(float)
+    scores[scores == 0] = -np.inf
+    for k in (1, 7, 29, 30, 50):
+        want = {(r, int(c)) for r in range(40) for c in np.argsort(-scores[r], kind="stable")[:k] if scores[r, c] > -np.inf}
+        assert set(zip(*(a.tolist() for a in dense._first_k(scores, k)))) == want
