@@ -112,6 +112,8 @@ def test_lambdamart_learns_and_contributions_add_up(spark):
     hit = top.join(goal, ["user_id", "item_id"], "left_semi").agg(F.avg("rank").alias("r"), F.count("*").alias("n")).first()
     assert hit["n"] == 12 and hit["r"] < 3
     assert ltr.contribution_gap(top).count() == 0
+    ranks = ablation.target_ranks(df, goal, {"first": model.score(1), "whole": model.score()})
+    assert ranks.count() == 12 and ranks.agg(F.avg("whole")).first()[0] == hit["r"]
     with pytest.raises(ValueError):
         ltr.lambdamart_fit(matrix.limit(0), ("x", "y"), {"n_estimators": 1})
 
