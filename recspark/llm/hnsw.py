@@ -2,12 +2,16 @@
 
 Equal vectors collapse to one row. Distinct vectors are dealt to shards by hash; a
 task builds a hierarchical navigable small-world graph of its shard (levels with
-geometric sizes, neighbours chosen for diversity, links both ways) and audits it:
-for a sample of its vectors the links found with the current beam are compared with
-brute force inside the shard, and the beam doubles until the audit passes. Graphs are
-written as rows of the shared folder. Then every vector queries every shard: cells of
-(shard, part of the queries) read the graph first and stream the queries; a query
-whose beam ends inside the threshold is widened again. Pairs are verified by cosine
+geometric sizes, neighbours chosen for diversity, links both ways) and audits it: the
+links found with the current beam are compared with brute force inside the shard, a
+vector's hit on itself left out. Three groups must each reach the recall: a sample of
+the shard's vectors, a sample of all vectors (most of them of other shards), and
+planted queries just inside the threshold of a sampled vector, so a shard whose samples
+link with nothing is audited too. The beam doubles until they do; a shard where they
+never do is searched exactly. Graphs are written as rows of the shared folder. Then
+every vector queries every shard: cells of (shard, part of the queries) read the graph
+first and stream the queries; a query whose beam ends inside the threshold is widened
+again, up to the exact search. Pairs are verified by cosine
 in double precision. A cell emits one count per query and a spanning forest of what
 it linked, never the pairs, and components unite the forests.
 
@@ -192,7 +196,8 @@ class Graph:
 
     def find(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) pairs of cosine ``least`` or more that the beams meet. A beam
-        whose worst node is still inside is widened until it isn't."""
+        whose worst node is still inside is widened until it isn't; one of the graph's
+        size is no beam any more but the whole product."""
         if not len(self.unit) or not len(q):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         q = np.ascontiguousarray(q, np.float32)
@@ -202,12 +207,19 @@ class Graph:
         rows, nodes, todo = [], [], np.arange(len(q))
         beam = min(beam, len(self.unit))
         while len(todo):
+            if beam >= len(self.unit):
+                step = max(1, (8 << 20) // len(self.unit))
+                for lo in range(0, len(todo), step):
+                    r, c = np.nonzero(q[todo[lo : lo + step]] @ self.unit.T >= least)
+                    rows.append(todo[lo : lo + step][r])
+                    nodes.append(c)
+                break
             step = max(1, min(256, (64 << 20) // max(len(self.unit), beam * 64)))
             again = []
             for lo in range(0, len(todo), step):
                 part = todo[lo : lo + step]
                 ids, sims = self._search(q[part], entry[part], 0, beam)
-                full = (sims[:, -1] >= least) if beam < len(self.unit) else np.zeros(len(part), bool)
+                full = sims[:, -1] >= least
                 r, c = np.nonzero((sims >= least) & ~full[:, None])
                 rows.append(part[r])
                 nodes.append(ids[r, c])
@@ -220,18 +232,68 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def audited_beam(graph: Graph, unit: np.ndarray, least: float, recall: float, sample: int, beam: int, seed: int = 3) -> int:
-    """The least beam, doubling from ``beam``, that finds ``recall`` of the links of a
-    sample; brute force gives them. At the shard's size a beam sees all it can reach."""
-    own = np.random.default_rng(seed).permutation(len(unit))[:sample]
-    found = [unit[own[lo : lo + 256]] @ unit.T >= least for lo in range(0, len(own), 256)]
-    true = sum(int(x.sum()) for x in found)
+def _links(graph: Graph, q: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """By brute force: which queries have a link, and a row of bits for each of those.
+    ``own`` is the place of a query's vector in the graph, or -1."""
+    some, bits = [np.empty(0, np.int64)], [np.empty((0, -(-len(graph.unit) // 8)), np.uint8)]
+    for lo in range(0, len(q), 128):
+        inside = q[lo : lo + 128] @ graph.unit.T >= least
+        at = np.flatnonzero(own[lo : lo + 128] >= 0)
+        inside[at, own[lo + at]] = False
+        linked = np.flatnonzero(inside.any(axis=1))
+        some.append(lo + linked)
+        bits.append(np.packbits(inside[linked], axis=1))
+    return np.concatenate(some), np.concatenate(bits)
+
+
+def found_share(graph: Graph, q: np.ndarray, own: np.ndarray, least: float, beam: int) -> tuple[int, int]:
+    """(links that the beam finds, links there are) of the queries, without those to themselves."""
+    if not len(q) or not len(graph.unit):
+        return 0, 0
+    some, bits = _links(graph, q, own, least)
+    return _hits(graph, q[some], bits, least, beam), int(np.bitwise_count(bits).sum())
+
+
+def _hits(graph: Graph, q: np.ndarray, bits: np.ndarray, least: float, beam: int) -> int:
+    hits = 0
+    for lo in range(0, len(q), 128):
+        r, c = graph.find(q[lo : lo + 128], least - 1e-6, beam)
+        hits += int((bits[lo + r, c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).sum())
+    return hits
+
+
+def planted(unit: np.ndarray, least: float, rng: np.random.Generator) -> np.ndarray:
+    """A query for each vector, at a cosine between ``least`` and 1 in a random direction."""
+    away = rng.standard_normal(unit.shape).astype(np.float32)
+    away -= np.einsum("bd,bd->b", away, unit)[:, None] * unit
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+    cosine = (least + (1 - least) * rng.uniform(0.01, 0.5, (len(unit), 1))).astype(np.float32)
+    return unit_rows(cosine * unit + np.sqrt(1 - cosine**2) * away).astype(np.float32)
+
+
+def audited_beam(
+    graph: Graph, unit: np.ndarray, least: float, recall: float, sample: int, beam: int, seed: int = 3,
+    others: np.ndarray | None = None, places: np.ndarray | None = None,
+) -> int:
+    """The least beam, doubling from ``beam``, that finds ``recall`` of the links of each
+    of three groups of queries; brute force gives them: own vectors, ``others`` (unit
+    vectors of any shard and their ``places`` in this one or -1) and planted queries.
+    If none does, the shard's size, at which ``find`` is exact."""
+    rng = np.random.default_rng(seed)
+    own = rng.permutation(len(unit))[:sample]
+    near = planted(unit[own], least, rng)
+    groups = [(unit[own], own), (near, np.full(len(near), -1))]
+    if others is not None and len(others):
+        groups.append((others.astype(np.float32), places if places is not None else np.full(len(others), -1)))
+    audits = []
+    for q, place in groups:
+        some, bits = _links(graph, q, place, least)
+        audits.append((q[some], bits, recall * int(np.bitwise_count(bits).sum())))
     while beam < len(unit):
-        hits = len(graph.find(unit[own], least - 1e-6, beam)[0])
-        if hits >= recall * true:
+        if all(_hits(graph, q, bits, least, beam) >= need for q, bits, need in audits):
             return beam
         beam *= 2
-    return beam
+    return len(unit)
 
 
 class Forest:
@@ -269,7 +331,7 @@ def near_duplicates(
     """vec_id, n_links, component_id and kept of every row.
 
     ``min_shards`` is for parallel builds, ``shard_rows`` bounds a task's graph,
-    ``parts`` splits each shard's queries, ``sample`` bounds a shard's audit."""
+    ``parts`` splits each shard's queries, ``sample`` bounds each group of a shard's audit."""
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     usable = F.coalesce(
         F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: F.coalesce(x == x, F.lit(False)) & (F.abs(x) < F.lit(float("inf"))))
@@ -307,6 +369,9 @@ def _search_all(placed: DataFrame, shards: int, parts: int, least: float, beam:
     """Rows (kind, a, b): how many others query a links with, or a forest's edge."""
     place = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")
     dealt = placed.select(place.alias("shard"), "node", "copies", "v").repartition(shards, "shard")
+    # At most ``sample`` rows, whichever shards they are dealt to: every shard's audit asks them.
+    drawn = placed.orderBy(F.xxhash64("node", F.lit(2)), "node").limit(sample).select("node", "v").collect()
+    asked, others = np.array([r[0] for r in drawn], np.int64), unit_rows(np.array([r[1] for r in drawn], np.float64))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -321,7 +386,9 @@ def _search_all(placed: DataFrame, shards: int, parts: int, least: float, beam:
             node, copies, x = node[order], copies[order], x[order]
             unit = unit_rows(x)
             graph = Graph(unit)
-            wide = audited_beam(graph, graph.unit, least, recall, sample, beam)
+            at = np.minimum(np.searchsorted(node, asked), len(node) - 1)
+            at = np.where(node[at] == asked, at, -1)
+            wide = audited_beam(graph, graph.unit, least, recall, sample, beam, others=others, places=at)
             blob = pickle.dumps((node, copies, unit, graph.links, graph.entry, wide), protocol=5)
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([blob], pa.binary())], ["shard", "graph"])
 

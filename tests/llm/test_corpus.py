@@ -192,6 +192,42 @@ def test_graph_finds_all_of_a_dense_group():
     assert len(r) >= 0.99 * true and len(r) <= true
 
 
+def test_audit_leaves_hits_on_itself_out(monkeypatch):
+    rng = np.random.default_rng(9)
+    base = hnsw.unit_rows(rng.standard_normal((2000, 32)))
+    x = np.concatenate([base, base[:8] + rng.standard_normal((8, 32)) * 0.01])
+    graph = hnsw.Graph(hnsw.unit_rows(x))
+    whole = hnsw.Graph.find
+
+    def blind(self, q, least, beam):
+        """Below the graph's size a query meets nothing but a vector equal to it."""
+        r, c = whole(self, q, least, len(self.unit))
+        same = np.einsum("kd,kd->k", q[r], self.unit[c]) > 1 - 1e-6
+        return (r, c) if beam >= len(self.unit) else (r[same], c[same])
+
+    monkeypatch.setattr(hnsw.Graph, "find", blind)
+    # 8 pairs among 1,024 samples' hits on themselves used to pass unseen.
+    assert hnsw.audited_beam(graph, graph.unit, 0.95, 0.99, 2008, 32) == len(x)
+    monkeypatch.setattr(hnsw, "planted", lambda unit, least, rng: unit[:0])
+    assert hnsw.audited_beam(graph, graph.unit, 0.95, 0.99, 2008, 32) == len(x)
+    apart = hnsw.Graph(hnsw.unit_rows(base))
+    assert hnsw.audited_beam(apart, apart.unit, 0.95, 0.99, 2000, 32) == 32
+    near = hnsw.unit_rows(base[:3] + rng.standard_normal((3, 32)) * 0.01)
+    assert hnsw.audited_beam(apart, apart.unit, 0.95, 0.99, 2000, 32, others=near, places=np.full(3, -1)) == len(base)
+
+
+def test_exact_search_equals_brute_force():
+    rng = np.random.default_rng(10)
+    unit = hnsw.unit_rows(np.repeat(rng.standard_normal((40, 16)), 20, axis=0) + rng.standard_normal((800, 16)) * 0.1).astype(np.float32)
+    graph = hnsw.Graph(unit)
+    q = hnsw.planted(unit, 0.95, rng)
+    r, c = graph.find(q, 0.95, len(unit))
+    assert set(zip(r.tolist(), c.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(q @ unit.T >= 0.95))))
+    assert (np.einsum("kd,kd->k", q, unit) >= 0.95).all()
+    hits, true = hnsw.found_share(graph, q, np.full(len(q), -1), 0.95, 64)
+    assert 0.99 * true <= hits <= true and true > 800
+
+
 def test_quality_on_unseen_labels(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
