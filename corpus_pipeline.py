@@ -2,8 +2,8 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as
 Parquet to the shared folder and reads again as the next stage's docs. All but the
-last return the columns of documents; rows with a null id pass every filter but that
-of their language.
+last return the columns of documents. Rows stay or go one by one, not by their id:
+a null or repeated id neither saves a copy or leak nor takes another row with it.
 """
 
 from __future__ import annotations
@@ -29,15 +29,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows under a generated key, written: read again, a row has the same key."""
+    return stored(docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id()), "keyed-documents")[0]
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one whose id names it."""
-    docs = docs.select(*COLUMNS)
-    copies = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group stays: the first of its smallest id, null ids last."""
+    docs = keyed(docs)
+    groups = simhash.near_duplicates(docs, key="row_key").select(F.col("doc_id").alias("row_key"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
+    first = groups.join(docs.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(F.min(order).alias("first"))
+    return docs.join(first.select("first.row_key"), "row_key", "left_semi").select(*COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    """Each row is a document of its own here."""
+    return decontam.clean(keyed(docs), table(spark, sf_dir, "benchmark"), key="row_key").select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

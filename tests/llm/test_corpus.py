@@ -322,6 +322,26 @@ def test_components_of_a_path(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
+def test_pipeline_decides_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(900)]
+    text = [" ".join(draw.choice(words) for _ in range(60)) for _ in range(6)]
+    # Null ids of one text, a repeated row, and an id with a copy of document 3 and a text of its own.
+    rows = [(None, text[0])] * 4 + [(None, text[1]), (2, text[2]), (2, text[2]), (3, text[3]), (5, text[3]), (5, text[4]), (9, text[1])]
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows).repartition(3), "")
+    assert by_text(kept, "doc_id", "text") == sorted([(None, text[0]), (2, text[2]), (3, text[3]), (5, text[4]), (9, text[1])], key=repr)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    item = text[5].split()[:24]
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    halves = [" ".join(item[:14]), " ".join(item[10:])]
+    rows = [(None, "a " + text[5]), (None, text[0]), (7, text[5]), (7, text[1]), *((None, x) for x in halves), *((8, x) for x in halves)]
+    clean = corpus_pipeline.drop_benchmark_leaks(spark, docs(spark, rows), str(tmp_path))
+    assert by_text(clean, "doc_id", "text") == sorted([(None, text[0]), (7, text[1]), *((i, x) for i in (None, 8) for x in halves)], key=repr)
+    assert clean.columns == corpus_pipeline.COLUMNS
+
+
 def test_pipeline_decisions_take_effect(spark):
     import corpus_pipeline
 
