@@ -1,13 +1,12 @@
-"""Benchmark decontamination by size-partitioned MinHash containment (operator 9, native).
+"""Benchmark decontamination by exact shingle containment (operator 9, native).
 
 An item leaks into a document that holds at least ``least`` of its distinct five-word
-shingles. Items are partitioned by size; an item of q shingles keeps as its sketch the
-q - ceil(least*q) + 1 shingles of smallest hash. A document that misses all of them
-misses more than it may, so probing the sketches finds every leak, whatever the
-document's length. (Banded MinHash over whole documents can't: a 60-word item in
-20,000 words has a Jaccard similarity of 0.003.) Each shingle of a document meets the
-postings once: sketch postings name the candidates and the item's other postings
-count the exact containment, so texts are read once and only matches are shuffled.
+shingles. Each shingle of a document meets the postings of all items once, and the
+matches are counted, so every leak is found whatever the document's length, texts are
+read once and only matches are shuffled. (Banded MinHash over whole documents can't: a
+60-word item in 20,000 words has a Jaccard similarity of 0.003.) An item's sketch, the
+q - ceil(least*q) + 1 of its q shingles of smallest hash, and its size class are marked
+but filter nothing: a document that misses the whole sketch fails the count anyway.
 
 Postings are broadcast while they number ``broadcast_rows`` at most and joined by
 shuffle beyond that; both give the same rows.
