@@ -5,8 +5,9 @@ most d bits, some start on the ring has, for every length l, at most l*d/5
 differences in its first l segments (the pigeonring principle). With d = 4 the first
 segment is then equal and the first two differ in one bit at most. So each distinct
 fingerprint is indexed under its five pairs of neighbouring segments and probes each
-such key and its one-bit changes of the second segment; the rest of the chain prunes
-what meets, and the whole distance decides.
+such key and its one-bit changes of the second segment; of what meets, the whole
+distance decides. Only these two segments of the chain filter: small cells look at the
+rest after the distance, large ones not at all.
 
 Copies collapse to one row per fingerprint before anything is compared. A key's
 fingerprints meet in cells of bounded size; a cell walks from one fingerprint to its
