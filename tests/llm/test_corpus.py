@@ -160,6 +160,17 @@ def test_licences_in_place(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_licence_names_give_their_labels(spark):
+    notice = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+              "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.")
+    texts = [(1, notice), (2, "x. this work is licensed under the gnu general public license, version 3."),
+             (3, "Creative Commons Attribution-NonCommercial 4.0 International Public License"), (4, "GNU Lesser General Public License"),
+             (5, "Permission is hereby granted, free of charge"), (6, "gnu general public license")]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.summary(licenses.scan(docs(spark, texts))).collect()}
+    assert got[1] == ("gpl", 1.0) and got[3] == ("cc-by-nc", 1.0) and got[4] == got[5] == ("", 0.0)
+    assert got[2][0] == got[6][0] == "gpl" and 0 < got[6][1] <= got[2][1] < 0.6
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((150, 16))
