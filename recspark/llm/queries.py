@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recspark.llm import bpe_codec, chat, cotrain, decontam, hnsw, langid, licenses, pii, simhash, token_counts
+from recspark.llm import bpe_codec, chat, cotrain, decontam, hnsw, langid, licenses, mixing, pii, simhash, spelling, token_counts, whitening
 from recspark.llm.common import table
 
 
@@ -63,6 +63,18 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +83,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_bpe_codec, op2_pii, op3_language_id, op4_license_scan, op5_token_counts,
-    op6_embedding_dedup, op7_quality, op8_chat_format, op9_decontamination, op10_simhash_dedup, pipeline)}
+    op6_embedding_dedup, op7_quality, op8_chat_format, op9_decontamination, op10_simhash_dedup,
+    op11_source_mixing, op12_whitening, op13_spelling_variants, pipeline)}
 
 #: Links of vectors by plain pairs; components follow links in both directions.
 EMBEDDING_SQL = """
@@ -112,4 +125,5 @@ ORACLES = {
     "op6_embedding_dedup": EMBEDDING_SQL,
     "op8_chat_format": CHAT_SQL,
     "op9_decontamination": decontam.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
