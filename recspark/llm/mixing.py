@@ -106,7 +106,7 @@ def tilts(histogram: DataFrame, wanted: DataFrame, most: float = 2.0, within: fl
     spark = histogram.sparkSession
     inf, full = F.lit(float("inf")), F.col("target") >= F.col("source_size") * most
     state, path = stored(wanted.select(
-        "origin", "target", (F.col("source_size") / F.col("documents")).alias("mean"),
+        "origin", "target", F.when(F.col("source_size") > 0, F.col("source_size") / F.col("documents")).otherwise(F.lit(1.0)).alias("mean"),
         F.when(full & (F.col("source_size") > 0), inf).otherwise(F.lit(0.0)).alias("tilt"),
         (-inf).alias("low"), inf.alias("high"), (full | (F.col("source_size") == 0)).alias("done"),
     ), "tilts")
