@@ -47,14 +47,6 @@ TEMPLATES = (
 )
 #: Labels whose key phrase is the licence's name: found, it is the licence, however the text goes on.
 NAMED = ("gpl", "cc-by-nc")
-#: What the SQL below compares: its texts of gpl and cc-by-nc and its one share for all
-#: labels are those of round 1, so on notices of these two it gives no label.
-SQL_TEMPLATES = tuple({
-    "gpl": ("gpl", "gnu general public license", 15,
-            "this program is free software you can redistribute it and or modify it under the gnu general public license"),
-    "cc-by-nc": ("cc-by-nc", "creative commons attribution noncommercial", 0,
-                 "creative commons attribution noncommercial international public license"),
-}.get(t[0], t) for t in TEMPLATES)
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANCHORS = 2
 
@@ -151,15 +143,15 @@ def summary(scanned: DataFrame) -> DataFrame:
 
 
 def oracle(share: float = 0.6) -> str:
-    """The rows in DuckDB by ``SQL_TEMPLATES``: every start is compared, without anchors."""
+    """The rows in DuckDB: every start is compared, without anchors."""
     text = lambda s: "[" + ", ".join(f"'{w}'" for w in s.split()) + "]"
     hit = lambda label, phrase: (
         f"list_filter(CASE WHEN list_has_all(w, {text(phrase)}) THEN range(0, len(w)) ELSE [] END, lambda s: w[s + 1] = '{phrase.split()[0]}' AND w[s + 1 : s + {len(phrase.split())}] = {text(phrase)})")
     parts = [f"list_transform({hit(label, phrase)}, lambda s: {{'label': '{label}', 'start': s, 'score': 1.0::DOUBLE, 'base': true}})" for phrase, label in BASE]
-    for label, phrase, before, whole in SQL_TEMPLATES:
+    for label, phrase, before, whole in TEMPLATES:
         n = len(whole.split())
         share_of = f"len(list_filter(range(1, {n + 1}), lambda i: {text(whole)}[i] = w[s - {before} + i] AND s - {before} + i > 0)) / {n}.0::DOUBLE"
-        parts.append(f"list_filter(list_transform({hit(label, phrase)}, lambda s: {{'label': '{label}', 'start': s, 'score': {share_of}, 'base': false}}), lambda x: x.score >= {share})")
+        parts.append(f"list_filter(list_transform({hit(label, phrase)}, lambda s: {{'label': '{label}', 'start': s, 'score': {share_of}, 'base': false}}), lambda x: x.score >= {0.0 if label in NAMED else share})")
     joined = parts[0]
     for p in parts[1:]:
         joined = f"list_concat({joined}, {p})"
