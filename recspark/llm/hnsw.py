@@ -20,8 +20,10 @@ their number does, so it stays near-linear until shards are full.
 
 Defined results: null, zero, empty and non-finite vectors, and those with a null
 component, link with nothing and are their own component; vectors of unequal lengths
-never link; copies link with each other; rows that share an id are each listed; other
-columns are ignored; an empty table gives an empty result.
+never link; copies link with each other; rows that share an id are vectors of their own,
+each with its own links and component; a row with a null id links and is counted like
+any other, but names a component only if all its ids are null; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -229,6 +231,9 @@ class Graph:
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. Scaling by a power of two first is exact and keeps squares in range."""
+    if x.size and x.dtype == np.float64:
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -334,12 +339,14 @@ def near_duplicates(
     ``parts`` splits each shard's queries, ``sample`` bounds each group of a shard's audit."""
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     usable = F.coalesce(
-        F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: F.coalesce(x == x, F.lit(False)) & (F.abs(x) < F.lit(float("inf"))))
+        (F.size("v") > 0) & F.forall("v", lambda x: F.coalesce(x == x, F.lit(False)) & (F.abs(x) < F.lit(float("inf"))))
         & F.exists("v", lambda x: x != 0), F.lit(False))
     rows, _ = stored(rows.select("vec_id", F.when(usable, F.col("v")).alias("v")), "vectors")
-    # -0.0 and 0.0 are one value to groupBy; a copy's links are counted from the group.
-    groups = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-    placed, _ = stored(groups.withColumn("length", F.size("v")), "distinct-vectors")
+    # -0.0 and 0.0 are one value to groupBy; a copy's links are counted from the group. A
+    # generated key stands for each distinct vector: ids may be null or repeat.
+    groups = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("name"), F.count("*").alias("copies"))
+    keyed = groups.withColumn("node", F.monotonically_increasing_id()).withColumn("length", F.size("v"))
+    placed, _ = stored(keyed, "distinct-vectors")
     shards = {r[0]: max(min_shards, -(-r[1] // shard_rows)) for r in placed.groupBy("length").count().collect()}
     counts: list[DataFrame] = []
     forests: list[DataFrame] = []
@@ -356,8 +363,9 @@ def near_duplicates(
         edges = edges.unionByName(more)
     roots = components(edges)
     known = placed.join(others.withColumnRenamed("a", "node"), "node", "left").join(roots, "node", "left").select(
-        "v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("root", "node").alias("component"))
-    return rows.join(known, "v", "left").select(
+        "v", "name", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("root", "node").alias("root"))
+    names = known.groupBy("root").agg(F.min("name").alias("component"))
+    return rows.join(known.join(names, "root").select("v", "links", "component"), "v", "left").select(
         "vec_id",
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "vec_id").alias("component_id"),
@@ -367,10 +375,10 @@ def near_duplicates(
 
 def _search_all(placed: DataFrame, shards: int, parts: int, least: float, beam: int, recall: float, sample: int) -> DataFrame:
     """Rows (kind, a, b): how many others query a links with, or a forest's edge."""
-    place = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")
+    place = F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")
     dealt = placed.select(place.alias("shard"), "node", "copies", "v").repartition(shards, "shard")
     # At most ``sample`` rows, whichever shards they are dealt to: every shard's audit asks them.
-    drawn = placed.orderBy(F.xxhash64("node", F.lit(2)), "node").limit(sample).select("node", "v").collect()
+    drawn = placed.orderBy(F.xxhash64("v", F.lit(2)), "node").limit(sample).select("node", "v").collect()
     asked, others = np.array([r[0] for r in drawn], np.int64), unit_rows(np.array([r[1] for r in drawn], np.float64))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,12 +390,12 @@ def _search_all(placed: DataFrame, shards: int, parts: int, least: float, beam:
                 held.setdefault(int(s), []).append((batch.column(1).to_numpy()[own], batch.column(2).to_numpy()[own], x[own]))
         for s, many in held.items():
             node, copies, x = (np.concatenate(y) for y in zip(*many))
-            order = np.argsort(node)  # the same graph whatever order the rows came in
+            order = np.lexsort(x.T)  # the same graph whatever order the rows came in
             node, copies, x = node[order], copies[order], x[order]
             unit = unit_rows(x)
             graph = Graph(unit)
-            at = np.minimum(np.searchsorted(node, asked), len(node) - 1)
-            at = np.where(node[at] == asked, at, -1)
+            known = {n: i for i, n in enumerate(node.tolist())}
+            at = np.array([known.get(n, -1) for n in asked.tolist()], np.int64)
             wide = audited_beam(graph, graph.unit, least, recall, sample, beam, others=others, places=at)
             blob = pickle.dumps((node, copies, unit, graph.links, graph.entry, wide), protocol=5)
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([blob], pa.binary())], ["shard", "graph"])
@@ -395,7 +403,7 @@ def _search_all(placed: DataFrame, shards: int, parts: int, least: float, beam:
     graphs, _ = stored(dealt.mapInArrow(build, "shard int, graph binary"), "graphs")
     # Few vectors may leave shards empty; those have no graph to ask.
     present = sorted(r[0] for r in graphs.select("shard").collect())
-    part = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(parts)).cast("int")
+    part = F.pmod(F.xxhash64("v", F.lit(1)), F.lit(parts)).cast("int")
     nothing = F.lit(None)
     queries = placed.select(
         F.explode(F.array(*map(F.lit, present))).alias("shard"), part.alias("part"), F.lit(1).alias("kind"),
