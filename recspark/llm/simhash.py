@@ -15,8 +15,9 @@ unvisited neighbours and emits a spanning forest, never all pairs. Components of
 forests are those of all links.
 
 Defined results: null and empty texts have fingerprint zero and link like any other;
-shorter texts are one shingle; rows that share an id are each listed; a null id gets
-the component of its text but is no component's name unless all ids in it are null;
+shorter texts are one shingle; rows that share an id are documents of their own, each
+with the component of its text; a row with a null id links and joins like any other but
+is no component's name unless all ids in it are null;
 other columns are ignored; an empty table gives an empty result; a text of any length
 is hashed whole in parts of bounded size.
 """
@@ -147,7 +148,7 @@ def _link(cell: np.ndarray, start: np.ndarray, kind: np.ndarray, fp: np.ndarray,
 def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     """Links (a, b) whose components are those of all pairs within ``distance`` bits.
 
-    ``distinct`` has one row per fingerprint: fp and node, the id that stands for it."""
+    ``distinct`` has one row per fingerprint: fp and node, a number of its own."""
     if not 0 <= distance <= 4:
         raise ValueError("five segments serve distances of 0 to 4 bits")
     index = distinct.select(F.explode(_keys(F.col("fp"), False)).alias("k"), F.lit(0).alias("kind"), "fp", "node")
@@ -198,8 +199,10 @@ def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp and component_id (the smallest id that links reach) of every row."""
     prints, _ = stored(fingerprints(docs, words, key, text), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    # A generated key stands for each fingerprint: ids may be null or repeat.
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("name")).withColumn("node", F.monotonically_increasing_id())
     named, _ = stored(distinct, "distinct-fingerprints")
-    roots = components(links(named.where("node is not null"), distance))
-    placed = named.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(placed, "fp").select("doc_id", "fp", "component_id")
+    roots = components(links(named.select("fp", "node"), distance))
+    placed = named.join(roots, "node", "left").select("fp", "name", F.coalesce("root", "node").alias("root"))
+    names = placed.groupBy("root").agg(F.min("name").alias("component_id"))
+    return prints.join(placed.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
