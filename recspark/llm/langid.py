@@ -125,12 +125,14 @@ def held_out(key: str = "doc_id"):
 def training_rows(docs: DataFrame, per_label: int, key: str, text: str, lang: str) -> DataFrame:
     """At most ``per_label`` learnable documents of each language, the smallest by hash.
 
-    The choice is made on ids alone; texts are read for the chosen ids only."""
+    The choice is made on ids alone; texts are read for the chosen ids only, and of the
+    rows that share an id and a language the one of the smallest text hash stands for all."""
     ids = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(
         F.col(key).alias("id"), F.col(lang).alias("label")).distinct()
     chosen = first_rows(ids, ["label"], [F.xxhash64("id", F.lit(17)), F.col("id")], per_label)
     whole = docs.select(F.col(key).alias("id"), F.col(lang).alias("label"), F.col(text).alias("text"))
-    return whole.join(F.broadcast(chosen), ["id", "label"])
+    return whole.where(F.col("text").isNotNull()).join(F.broadcast(chosen), ["id", "label"]).groupBy("id", "label").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def train(
