@@ -10,7 +10,9 @@ done for two targets, quality and toxicity, and every document is scored in one
 over whole texts without a shuffle.
 
 Fitting reads bounded samples chosen by hash: ``per_class`` labelled documents of each
-pair of labels and a pool of ``pool`` others. Scoring covers all rows.
+pair of labels, null being one, and a pool of ``pool`` others. Folds are cut per target
+and class, so a rare class reaches both; a row that lacks a target's label is of that
+target's pool. Scoring covers all rows.
 
 Defined results: null and empty texts are scored by their shares (zero) and metadata;
 unseen or null metadata adds nothing; without both classes of a target in the labels,
@@ -173,10 +175,11 @@ def cotrain(
     text: list[Rows], meta: list[Rows], y: np.ndarray, meta_size: int, rounds: int = 3, share: float = 0.05, sure: float = 0.95,
 ) -> Target:
     """``text`` and ``meta`` hold the views of training, calibration and pool rows; ``y``
-    the labels of the first two, in order."""
+    the labels of the first two, in order. Training rows of one class give a constant;
+    calibration rows of one class leave the views as they are, at equal weights."""
     n = len(text[0].ends) - 1
     y_train, y_check = y[:n], y[n:]
-    if len(set(y_train)) < 2 or len(set(y_check)) < 2:
+    if len(set(y_train)) < 2:
         return Target(constant=float(y.mean()) if len(y) else 0.5)
     size = (DIMENSIONS, meta_size)
     views = (text, meta)
@@ -196,6 +199,8 @@ def cotrain(
             top, low = np.argsort(-p, kind="stable")[:most], np.argsort(p, kind="stable")[:most]
             top, low = top[p[top] >= sure], low[p[low] <= 1 - sure]
             extra[1 - view] = np.concatenate([top, low]), np.concatenate([np.ones(len(top)), np.zeros(len(low))])
+    if len(set(y_check)) < 2:
+        return Target(*fitted, mix=(0.5, 0.5, 0.0))
     logits = [f.logits(rows[1]) for f, rows in zip(fitted, views)]
     scale: list[float] = []
     for z in logits:
@@ -225,22 +230,38 @@ def _columns(docs: DataFrame, key: str, text: str, source: str, lang: str, n_cha
 
 
 def sample(rows: DataFrame, labels: DataFrame, per_class: int, pool: int) -> DataFrame:
-    """The chosen documents with their labels (null: of the pool); ids are chosen before texts are read."""
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("key")).agg(
+    """The chosen documents with their labels (both null: of the pool); ids are chosen before
+    texts are read, and of the rows that share an id the first by hash stands for all."""
+    known = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy(F.col("doc_id").cast("long").alias("key")).agg(
         F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("toxic").cast("int")).alias("toxic"))
     ids = rows.where("key IS NOT NULL").select("key").distinct().join(known, "key", "left")
     order = [F.xxhash64("key", F.lit(23)), F.col("key")]
     picked = [first_rows(part, ["quality", "toxic"], order, n) for part, n in (
-        (ids.where(F.col("quality").isNotNull()), per_class), (ids.where(F.col("quality").isNull()), pool))]
+        (ids.where("quality IS NOT NULL OR toxic IS NOT NULL"), per_class), (ids.where("quality IS NULL AND toxic IS NULL"), pool))]
     chosen = picked[0].unionByName(picked[1])
-    return rows.join(F.broadcast(chosen), "key")  # bounded by per_class and pool
+    met = rows.join(F.broadcast(chosen), "key")  # bounded by per_class and pool, but for repeated ids
+    one = F.min_by(F.struct("text", "source", "lang", "n_chars", "quality", "toxic"), F.xxhash64("text", "source", "lang", "n_chars"))
+    return met.groupBy("key").agg(one.alias("r")).select("key", "r.*")
+
+
+def folds(rows: list, target: str) -> tuple[list[int], list[int], list[int]]:
+    """Places of the training, calibration and pool rows of a target: of each class, in the
+    order of hashed ids, the second row of every four is for calibration; rows without
+    this label are of the pool."""
+    train, check = [], []
+    for label in (0, 1):
+        own = [i for i, r in enumerate(rows) if r[target] == label]
+        own.sort(key=lambda i: (zlib.crc32(f"fold{rows[i]['key']}".encode()), rows[i]["key"]))
+        for n, i in enumerate(own):
+            (check if n % 4 == 1 else train).append(i)
+    return sorted(train), sorted(check), [i for i, r in enumerate(rows) if r[target] is None]
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, per_class: int = 1000, pool: int = 2000, key: str = "doc_id", text: str = "text",
     source: str = "source", lang: str = "lang", n_chars: str = "n_chars", rounds: int = 3,
 ) -> Model:
-    """Both targets' models, fitted on the driver to at most 4 x ``per_class`` + ``pool`` documents."""
+    """Both targets' models, fitted on the driver to at most 8 x ``per_class`` + ``pool`` documents."""
     chosen = sample(_columns(docs, key, text, source, lang, n_chars), labels, per_class, pool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,22 +277,17 @@ def fit(
     schema = "key long, source string, lang string, n_chars long, quality int, toxic int, slots binary, shares binary"
     named = chosen.select("key", "text", "source", "lang", "n_chars", "quality", "toxic")
     got = sorted(named.mapInArrow(run, schema).collect(), key=lambda r: (r["key"], bytes(r["shares"])))  # bounded by the sample
-    keep = {"train": [], "check": [], "pool": []}
-    for r in got:
-        fold = "pool" if r["quality"] is None else "check" if zlib.crc32(f"fold{r['key']}".encode()) % 4 == 0 else "train"
-        keep[fold].append(r)
     names = sorted({x for r in got for x in meta_view(r["source"], r["lang"], r["n_chars"]) if x})
     at = {x: i for i, x in enumerate(names)}
-    text_rows, meta_rows = [], []
-    for fold in ("train", "check", "pool"):
-        own = keep[fold]
-        dense = np.array([np.frombuffer(r["shares"]) for r in own]).reshape(-1, SHARES)
-        text_rows.append(Rows.of([np.frombuffer(r["slots"], np.int32) for r in own], dense))
-        meta_rows.append(Rows.of([np.array([at[x] for x in meta_view(r["source"], r["lang"], r["n_chars"]) if x], np.int64) for r in own], np.empty((len(own), 0))))
+    dense = np.array([np.frombuffer(r["shares"]) for r in got]).reshape(-1, SHARES)
+    text_rows = Rows.of([np.frombuffer(r["slots"], np.int32) for r in got], dense)
+    meta_rows = Rows.of([np.array([at[x] for x in meta_view(r["source"], r["lang"], r["n_chars"]) if x], np.int64) for r in got], np.empty((len(got), 0)))
     targets = {}
     for target in TARGETS:
-        y = np.array([float(r[target]) for r in keep["train"] + keep["check"]])
-        targets[target] = cotrain(text_rows, meta_rows, y, len(names), rounds)
+        parts = folds(got, target)
+        y = np.array([float(got[i][target]) for part in parts[:2] for i in part])
+        views = [[_pick(rows, np.array(part, np.int64)) for part in parts] for rows in (text_rows, meta_rows)]
+        targets[target] = cotrain(*views, y, len(names), rounds)
     return Model(targets, at)
 
 
