@@ -60,19 +60,17 @@ def _tagged(df: DataFrame, kind: str, columns: dict[str, Column]) -> DataFrame:
     empty = {
         "user_id": F.lit(None).cast("bigint"),
         "item_id": F.lit(None).cast("bigint"),
-        "tokens": F.lit(None).cast("array<string>"),
         "weights": F.lit(None).cast("array<double>"),
     }
     return df.select("qb", "ib", F.lit(kind).alias("kind"), *[columns.get(c, e).alias(c) for c, e in empty.items()])
 
 
 def block_topk(
-    queries: DataFrame, items: DataFrame, k: int, blocked: DataFrame | None = None, sparse: bool = False,
-    positive_only: bool = False, allowed: DataFrame | None = None,
+    queries: DataFrame, items: DataFrame, k: int, blocked: DataFrame | None = None, allowed: DataFrame | None = None,
 ) -> DataFrame:
     """Exact top ``k`` items per user by inner product.
 
-    ``queries(user_id, weights[, tokens])`` and ``items(item_id, weights[, tokens])``
+    ``queries(user_id, weights)`` and ``items(item_id, weights)``
     are cut into blocks by hash. Each (query block, item block) cell is one task
     group of bounded size: it multiplies its two matrices, drops the ``blocked``
     pairs (and, given ``allowed(user_id, item_id)``, keeps only those), and
@@ -89,21 +87,20 @@ def block_topk(
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     weights = F.col("weights").cast("array<double>")
-    tokens = {"tokens": F.col("tokens")} if sparse else {}
     rows = _tagged(
         queries.withColumn("qb", block("user_id", nqb)).withColumn("ib", every(nib)), "q",
-        {"user_id": F.col("user_id"), "weights": weights, **tokens},
+        {"user_id": F.col("user_id"), "weights": weights},
     ).unionByName(
         _tagged(
             items.withColumn("ib", block("item_id", nib)).withColumn("qb", every(nqb)), "i",
-            {"item_id": F.col("item_id"), "weights": weights, **tokens},
+            {"item_id": F.col("item_id"), "weights": weights},
         )
     )
     for kind, pairs in (("b", blocked), ("a", allowed)):
         if pairs is not None:
             placed = pairs.select("user_id", "item_id").withColumn("qb", block("user_id", nqb)).withColumn("ib", block("item_id", nib))
             rows = rows.unionByName(_tagged(placed, kind, {"user_id": F.col("user_id"), "item_id": F.col("item_id")}))
-    score = _block_scorer(k, sparse, positive_only, allowed is not None)
+    score = _block_scorer(k, allowed is not None)
     local = rows.groupBy("qb", "ib").applyInArrow(score, "user_id bigint, item_id bigint, score double")
     return top_k(local, k)
 
@@ -113,43 +110,28 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return flat.reshape(rows, -1)
 
 
-def _token_matrices(queries: pa.Table, items: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Dense query and item matrices over the tokens the queries use."""
-    def flat(table):
-        lists = table.column("tokens").combine_chunks()
-        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        owner = np.repeat(np.arange(len(lists)), sizes)
-        return owner, lists.flatten(), table.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-
-    q_owner, q_token, q_weight = flat(queries)
-    i_owner, i_token, i_weight = flat(items)
-    vocabulary = q_token.unique()
-    q_code = pc.index_in(q_token, vocabulary).to_numpy(zero_copy_only=False)
-    i_code = pc.index_in(i_token, vocabulary)
-    used = pc.is_valid(i_code).to_numpy(zero_copy_only=False)
-    i_code = pc.fill_null(i_code, 0).to_numpy(zero_copy_only=False)
-    left = np.zeros((queries.num_rows, len(vocabulary)))
-    left[q_owner, q_code] = q_weight
-    right = np.zeros((items.num_rows, len(vocabulary)))
-    right[i_owner[used], i_code[used]] = i_weight[used]
-    return left, right
-
-
-def _first_k(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of each row's ``k`` greatest finite scores; ties go to the smaller column.
-
-    The kth value splits a row, so no row is sorted."""
-    keep = scores > -np.inf
-    n = scores.shape[1]
-    if n > k:
-        least = np.partition(scores, n - k, axis=1)[:, n - k, None]
-        above, tied = scores > least, scores == least
-        room = k - above.sum(axis=1, keepdims=True)
-        keep &= above | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= room))
-    return np.nonzero(keep)
-
-
-def _block_scorer(k: int, sparse: bool, positive_only: bool, restricted: bool):
+def first_k(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of each row's ``k`` greatest finite scores, rounded for the order; ties go to
+    the smaller column.
+
+    Only what is within a rounding of the row's kth score is rounded and sorted."""
+    row, col = np.nonzero(scores > -np.inf)
+    value = scores[row, col]
+    ends = np.searchsorted(row, np.arange(len(scores) + 1)).tolist()
+    near = np.ones(len(row), bool)
+    for lo, hi in zip(ends, ends[1:]):
+        if hi - lo > k:
+            own = value[lo:hi]
+            near[lo:hi] = own >= np.partition(own, hi - lo - k)[hi - lo - k] - 2 * 10.0**-SCORE_DIGITS
+    row, col = row[near], col[near]
+    order = np.lexsort((col, -np.round(scores[row, col], SCORE_DIGITS), row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, row)
+    kept = np.arange(len(row)) - first < k
+    return row[kept], col[kept]
+
+
+def _block_scorer(k: int, restricted: bool):
     def score(table: pa.Table) -> pa.Table:
         part = lambda kind: table.filter(pc.equal(table.column("kind"), kind))
         queries, items = part("q"), part("i").sort_by("item_id")
@@ -158,10 +140,7 @@ def _block_scorer(k: int, sparse: bool, positive_only: bool, restricted: bool):
         empty = pa.table({"user_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not len(users) or not len(ids):
             return empty
-        if sparse:
-            left, right = _token_matrices(queries, items)
-        else:
-            left, right = _matrix(queries.column("weights"), len(users)), _matrix(items.column("weights"), len(ids))
+        left, right = _matrix(queries.column("weights"), len(users)), _matrix(items.column("weights"), len(ids))
         order = np.argsort(users)
 
         def cells(kind):
@@ -174,7 +153,7 @@ def _block_scorer(k: int, sparse: bool, positive_only: bool, restricted: bool):
             return row[hit], col[hit]
 
         raw = left @ right.T
-        scores = np.round(raw, SCORE_DIGITS)  # orders the rows; the raw score is returned
+        scores = raw.copy()
         if not np.isfinite(scores).all():
             raise ValueError("similarity scores must be finite")
         if restricted:
@@ -183,9 +162,7 @@ def _block_scorer(k: int, sparse: bool, positive_only: bool, restricted: bool):
             keep[at] = scores[at]
             scores = keep
         scores[cells("b")] = -np.inf
-        if positive_only:
-            scores[scores <= 0] = -np.inf
-        row, col = _first_k(scores, k)  # ids are ascending, so the smaller column is the smaller id
+        row, col = first_k(scores, k)  # ids are ascending, so the smaller column is the smaller id
         return pa.table({"user_id": users[row], "item_id": ids[col], "score": raw[row, col]})
 
     return score

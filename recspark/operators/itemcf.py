@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from recspark.functions.ordering import top_k
+from recspark.operators import itemcf_blocks as blocks
 from recspark.operators.popularity import catalog_order, first_unseen, popularity
 from recspark.operators.splits import POSITIVE_THRESHOLD, positives
+from recspark.session import stored
 
 CHUNK = 512  # liked items that one row holds
 
@@ -51,72 +53,47 @@ def itemcf_fit(inter: DataFrame, threshold: int = POSITIVE_THRESHOLD, chunk: int
     return ItemCF(half.select(both.alias("e"), "score").select("e.src", "e.dst", "score"), pop)
 
 
-def itemcf_neighbours(model: ItemCF, hist: DataFrame) -> DataFrame:
-    """Summed similarity of every unseen neighbour of each user's history."""
-    seen = hist.select("user_id", "item_id").distinct()
-    parts = seen.join(model.sim, F.col("item_id") == F.col("src")).select("user_id", F.col("dst").alias("item_id"), "score")
-    return (
-        parts.groupBy("user_id", "item_id")
-        .agg(F.sum("score").alias("score"))
-        .join(seen, ["user_id", "item_id"], "left_anti")
-    )
-
-
-def lonely_users(model: ItemCF, hist: DataFrame, users: DataFrame) -> DataFrame:
-    """Users whose history has no unseen neighbour.
-
-    An item with at least as many neighbours as the user has seen items must
-    have an unseen one, so only the few remaining suspects are looked up.
-    """
-    seen = hist.select("user_id", "item_id").distinct()
-    degree = model.sim.groupBy(F.col("src").alias("item_id")).agg(F.count(F.lit(1)).alias("degree"))
-    safe = (
-        seen.join(degree, "item_id", "left")
-        .groupBy("user_id")
-        .agg(F.max(F.coalesce("degree", F.lit(0))).alias("degree"), F.count(F.lit(1)).alias("h"))
-        .filter(F.col("degree") >= F.col("h"))
-    )
-    suspects = users.select("user_id").distinct().join(safe.select("user_id"), "user_id", "left_anti")
-    linked = itemcf_neighbours(model, seen.join(suspects, "user_id", "left_semi")).select("user_id")
-    return suspects.join(linked, "user_id", "left_anti")
+def without(rows: DataFrame, users: DataFrame) -> DataFrame:
+    """The users without any unseen neighbour in the cells' rows."""
+    linked = rows.filter("item_id IS NULL").select("user_id").distinct()
+    return users.select("user_id").distinct().join(linked, "user_id", "left_anti")
 
 
 def itemcf_retrieve(
-    model: ItemCF, hist: DataFrame, users: DataFrame, items: DataFrame, k: int = 100, allowed=None
+    model: ItemCF, hist: DataFrame, users: DataFrame, items: DataFrame, k: int = 100, states: DataFrame | None = None,
+    blocked: DataFrame | None = None,
 ) -> DataFrame:
-    """Top ``k`` unseen items per user; popularity for users without any neighbour.
+    """Top ``k`` unseen catalog items per user; popularity for users without any neighbour.
 
-    ``allowed`` filters (user_id, item_id, score) rows; without it every catalog
-    item is allowed. The fallback looks at neighbours before that filter, so a
-    user whose neighbours are all filtered gets no rows.
+    ``states`` holds hard constraints and ``blocked(user_id, item_id)`` further ids that
+    may not be returned; both act before the k. The fallback looks at neighbours before
+    them, so a user whose neighbours are all filtered gets no rows.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    hist = hist.join(users.select("user_id"), "user_id", "left_semi")
-    keep = allowed or (lambda df: df.join(items.select("item_id"), "item_id", "left_semi"))
-    columns = ["user_id", "item_id", "score"]
-    result = top_k(keep(itemcf_neighbours(model, hist)).select(*columns), k)
-    lonely = lonely_users(model, hist, users)
+    packed = blocks.pack(model.sim, model.pop, items)
+    rows = stored(blocks.cells(packed, blocks.requests(users, hist, blocked, states), k), "neighbours")
+    result = top_k(rows.filter("item_id IS NOT NULL"), k)
+    lonely = stored(without(rows, users), "lonely")
     if not lonely.isEmpty():
-        known = items.join(model.pop, "item_id", "left_semi")
-        depth = max(known.count(), 1) if allowed else k
-        fallback = keep(first_unseen(lonely, catalog_order(known, model.pop), hist, depth).drop("rank"))
-        result = result.unionByName(top_k(fallback.select(*columns), k))
+        asked = blocks.requests(lonely, hist, blocked, states, popular=True)
+        result = result.unionByName(top_k(blocks.cells(packed, asked, k, linked=False).filter("item_id IS NOT NULL"), k))
     return result
 
 
 def itemcf_score(model: ItemCF, hist: DataFrame, pairs: DataFrame) -> DataFrame:
     """Score of the requested (user, item) pairs; 0.0 where an item is no neighbour."""
-    seen = hist.select("user_id", "item_id").distinct()
     wanted = pairs.select("user_id", "item_id").distinct()
-    lonely = lonely_users(model, hist, wanted)
+    nothing = wanted.select("item_id").filter(F.lit(False))
+    packed = blocks.pack(model.sim, model.pop, nothing)
+    rows = stored(blocks.cells(packed, blocks.requests(wanted, hist, wanted=wanted), None), "scores")
     popular = (
-        wanted.join(lonely, "user_id", "left_semi")
-        .join(seen, ["user_id", "item_id"], "left_anti")
+        wanted.join(without(rows, wanted), "user_id", "left_semi")
+        .join(hist.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
         .join(model.pop, "item_id")
         .select("user_id", "item_id", F.col("popularity").cast("double").alias("score"))
     )
-    scores = itemcf_neighbours(model, hist).select("user_id", "item_id", "score").unionByName(popular)
+    scores = rows.filter("item_id IS NOT NULL").unionByName(popular)
     return wanted.join(scores, ["user_id", "item_id"], "left").select(
         "user_id", "item_id", F.coalesce("score", F.lit(0.0)).alias("score")
     )
@@ -163,19 +140,13 @@ def held_out_retrieve(model: ItemCF, rows: DataFrame, hist: DataFrame, users: Da
         .groupBy("user_id")
         .agg(F.sum(1 / F.sqrt("popularity")).alias("w"))
     )
-    fixed = (
-        itemcf_neighbours(model, seen)
-        .join(hidden, ["user_id", "item_id"], "left")
-        .join(weight, "user_id", "left")
-        .join(pop, "item_id")
-    )
-    left = F.col("popularity") - F.col("own")
-    less = (F.col("score") * F.sqrt("popularity") - F.col("w")) / F.sqrt(left)
-    score = F.when(F.col("own").isNull(), F.col("score")).when(left > 0, less)
-    scored = fixed.select("user_id", "item_id", score.alias("score")).filter(F.round("score", 9) > 0)
-    lonely = users.select("user_id").join(scored.select("user_id").distinct(), "user_id", "left_anti")
+    packed = blocks.pack(model.sim, pop, items)
+    corrected = hidden.join(weight, "user_id", "left").select("user_id", "item_id", "own", F.coalesce("w", F.lit(0.0)).alias("weight"))
+    rows = stored(blocks.cells(packed, blocks.requests(users, seen, hidden=corrected), k), "held-out")
+    lonely = stored(without(rows, users), "lonely")
     popular = lonely_popular(lonely, pop, hidden, seen, items, k)
-    return top_k(scored.join(items.select("item_id"), "item_id", "left_semi").unionByName(popular), k)
+    kept = popular.join(items.select("item_id"), "item_id", "left_semi").select("user_id", "item_id", "score")
+    return top_k(rows.filter("item_id IS NOT NULL").unionByName(kept), k)
 
 
 def lonely_popular(lonely: DataFrame, pop: DataFrame, hidden: DataFrame, seen: DataFrame, items: DataFrame, k: int) -> DataFrame:

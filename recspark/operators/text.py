@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from recspark.operators.dense import block_topk, divided
+from recspark.operators import postings
+from recspark.operators.dense import divided
 
 # fixed value: what counts as a token of lower-cased text
 TOKEN_PATTERN = "[a-z0-9]+"
@@ -48,11 +49,16 @@ def vector_rows(vectors: DataFrame, key: str = "item_id") -> DataFrame:
 
 def tfidf_retrieve(
     vectors: DataFrame, idf: DataFrame, queries: DataFrame, k: int = 100, blocked: DataFrame | None = None,
-    allowed: DataFrame | None = None,
+    states: DataFrame | None = None, items: DataFrame | None = None,
 ) -> DataFrame:
-    """Top ``k`` items per query text ``queries(user_id, text)`` by cosine; only scores above 0."""
+    """Top ``k`` items per query text ``queries(user_id, text)`` by cosine; only scores above 0.
+
+    ``states`` holds hard constraints on the genres and years of ``items``."""
+    if states is not None and items is None:
+        raise ValueError("constraints need the items' genres and years")
     query_vectors = vectorize(term_counts(queries, "user_id"), idf, "user_id")
-    return block_topk(query_vectors, vectors, k, blocked, sparse=True, positive_only=True, allowed=allowed)
+    made = postings.index(vector_rows(vectors), idf, None if states is None else items)
+    return postings.postings_topk(made, query_vectors, k, blocked, states)
 
 
 def semantic_profile(

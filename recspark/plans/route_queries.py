@@ -145,6 +145,21 @@ def _tfidf_retrieve(x: Inputs):
 oracle("tfidf_retrieve", "semeval", "SELECT user_id, item_id, rank, round(score, 6) AS score FROM semeval")
 
 
+@query("tfidf_constrained")
+def _tfidf_constrained(x: Inputs):
+    """The text route under each customer's hard constraints, which act before the top 20."""
+    vectors, idf = text.tfidf_fit(x.items)
+    profiles = text.semantic_profile(state_from_history(x.history, x.items), x.seen, x.items, CAP, "baseline")
+    users = profiles.join(x.goals.select("user_id"), "user_id", "left_semi")
+    return ranked_columns(text.tfidf_retrieve(vectors, idf, users, 20, x.seen, x.constraints, x.items))
+
+
+oracle("tfidf_constrained", "semrank allowedcons", """
+SELECT user_id, item_id, rank, round(score, 6) AS score FROM (
+  SELECT s.user_id, s.item_id, s.score, row_number() OVER (PARTITION BY s.user_id ORDER BY round(s.score, 9) DESC, s.item_id) AS rank
+  FROM semrank s JOIN allowedcons a ON a.user_id = s.user_id AND a.item_id = s.item_id) WHERE rank <= 20""")
+
+
 def _profile_query(name: str, style: str, cap: int):
     @query(name)
     def run(x: Inputs):

@@ -217,8 +217,7 @@ GROUP BY u.user_id""")
 @query("allowed_candidates")
 def _allowed_candidates(x: Inputs):
     """ItemCF neighbours that pass the hard filter, ranked per user."""
-    allowed = lambda df: filters.hard_filter(df, x.items, x.constraints, x.seen)
-    ranked = itemcf.itemcf_retrieve(x.model, x.seen, x.users, x.items, 20, allowed)
+    ranked = itemcf.itemcf_retrieve(x.model, x.seen, x.users, x.items, 20, x.constraints, x.seen)
     return ranked.select("user_id", "item_id", *longs("rank"), *rounded("score"))
 
 
