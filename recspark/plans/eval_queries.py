@@ -147,12 +147,12 @@ def _plan_valid(x: Inputs):
 
 cte("planvalid", "steps", """
 SELECT case_id, reason = '' AS plan_valid, reason FROM (
-  SELECT case_id, CASE WHEN count(*) > 12 THEN 'too many steps'
-    WHEN count(*) FILTER (WHERE tool = 'rerank') = 0 THEN 'tool plan requires rerank'
-    WHEN count(*) FILTER (WHERE tool = 'itemcf_retrieve') = 0 THEN 'rerank requires at least one retrieval tool'
+  SELECT case_id, CASE WHEN count(*) > 12 THEN 'plan is longer than allowed'
+    WHEN count(*) FILTER (WHERE tool = 'rerank') = 0 THEN 'nothing ranks the candidates'
+    WHEN count(*) FILTER (WHERE tool = 'itemcf_retrieve') = 0 THEN 'no step retrieves candidates'
     WHEN coalesce(min(position) FILTER (WHERE tool = 'hard_filter') > min(position) FILTER (WHERE tool = 'itemcf_retrieve'), true)
-      THEN 'hard_filter must run before retrieval'
-    WHEN min(position) FILTER (WHERE tool = 'rerank') < max(position) FILTER (WHERE tool = 'itemcf_retrieve') THEN 'rerank must run after retrieval'
+      THEN 'filtering comes after retrieval'
+    WHEN min(position) FILTER (WHERE tool = 'rerank') < max(position) FILTER (WHERE tool = 'itemcf_retrieve') THEN 'ranking comes before retrieval ends'
     ELSE '' END AS reason FROM steps GROUP BY case_id)""")
 oracle("plan_valid", "planvalid", "SELECT case_id, plan_valid, reason FROM planvalid")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recspark.operators import als, bpr, candidates, dense, graph, ltr, splits
+from recspark.operators import als, boosting, bpr, candidates, dense, graph, ltr, splits
 from recspark.plans import registry
 from recspark.plans.context import Inputs, RankerInputs, longs, query, rounded
 from recspark.plans.oracle import cte, oracle
@@ -42,6 +42,25 @@ a AS (SELECT *, greatest(itemcf_reciprocal_rank, latent_reciprocal_rank) AS best
 b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY late, round(best, 9) DESC, item_id) AS k FROM a),
 o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(best, 9) DESC, item_id) AS position FROM b WHERE k <= 200)""")
 
+@query("lambdamart_lambdas")
+def _lambdamart_lambdas(x: Inputs):
+    """Gradients and hessians of the first boosting round over all training groups."""
+    features = stored(feature_table(x, "v1"), "features")
+    names = candidates.FEATURES["v1"]
+    matrix = stored(ltr.training_matrix(features, x.goals), "matrix")
+    rows = boosting.current_rows(boosting.pack(matrix, names, boosting.cut_points(matrix, names)))
+    return rows.select("user_id", "item_id", *rounded("lambda", "hessian"))
+
+
+oracle("lambdamart_lambdas", "feat1 goals", """
+WITH t AS (SELECT f.user_id, f.item_id AS goal FROM feat1 f JOIN goals g ON g.user_id = f.user_id AND g.item_id = f.item_id),
+r AS (SELECT f.user_id, f.item_id, f.item_id = t.goal AS hit, row_number() OVER (PARTITION BY f.user_id ORDER BY f.item_id) AS rank FROM feat1 f JOIN t ON t.user_id = f.user_id),
+p AS (SELECT *, max(CASE WHEN hit THEN rank END) OVER (PARTITION BY user_id) AS goal_rank FROM r),
+s AS (SELECT *, CASE WHEN NOT hit AND least(rank, goal_rank) <= 30 THEN 0.5 * abs(1 / log2(1.0 + goal_rank) - 1 / log2(1.0 + rank)) ELSE 0.0 END AS push FROM p),
+q AS (SELECT *, sum(push) OVER (PARTITION BY user_id) AS total FROM s)
+SELECT user_id, item_id, round(CASE WHEN hit THEN total ELSE -push END * scale, 6) AS lambda, round(0.5 * CASE WHEN hit THEN total ELSE push END * scale, 6) AS hessian
+FROM (SELECT *, CASE WHEN total > 0 THEN log2(1 + 2 * total) / (2 * total) ELSE 1.0 END AS scale FROM q)""")
+
 SMALL_FIT = {"num_leaves": 15, "learning_rate": 0.1, "n_estimators": 5, "min_child_samples": 20}
 
 
@@ -119,8 +138,8 @@ def _grouped_cv(x: Inputs):
 
 @query("als_retrieve")
 def _als_retrieve(x: Inputs):
-    factors = als.als_fit(x.legal_positives, rank=8, iterations=2)
-    top = als.als_retrieve(factors, x.history, 8, 10, blocked=x.seen)
+    factors = als.als_fit(x.legal_positives, rank=20, iterations=12)
+    top = als.als_retrieve(factors, x.history, 20, 10, blocked=x.seen)
     return top.select("user_id", "item_id", *longs("rank"), *rounded("score"))
 
 

@@ -239,9 +239,11 @@ def _ranking_constraint_check(x: Inputs):
     return filters.ranking_constraint_check(top, allowed, x.seen)
 
 
-oracle("ranking_constraint_check", "poprank allowedcons", """
-SELECT p.user_id, bool_and(a.item_id IS NOT NULL) AS within_allowed, true AS unseen, bool_and(a.item_id IS NOT NULL) AS constraint_satisfied
-FROM (SELECT * FROM poprank WHERE rank <= 10) p LEFT JOIN allowedcons a USING (user_id, item_id) GROUP BY p.user_id""")
+oracle("ranking_constraint_check", "poprank allowedcons seen", """
+SELECT p.user_id, bool_and(a.item_id IS NOT NULL) AS within_allowed, bool_and(z.item_id IS NULL) AS unseen,
+       bool_and(a.item_id IS NOT NULL AND z.item_id IS NULL) AS constraint_satisfied
+FROM (SELECT * FROM poprank WHERE rank <= 10) p LEFT JOIN allowedcons a USING (user_id, item_id)
+LEFT JOIN (SELECT DISTINCT user_id, item_id FROM seen) z USING (user_id, item_id) GROUP BY p.user_id""")
 
 
 @query("constraint_audit")
@@ -284,11 +286,11 @@ def _case_relevance_report(x: Inputs):
 oracle("case_relevance_report", "targets items cons inter", """
 SELECT user_id, item_id, reasons FROM (
   SELECT t.user_id, t.test_item AS item_id, array_to_string(list_filter([
-    CASE WHEN EXISTS (SELECT 1 FROM inter b WHERE b.rating < 4 AND b.user_id = t.user_id AND b.item_id = t.test_item) THEN 'blocked movie ID' END,
-    CASE WHEN list_has_any(i.genres, c.excluded_genres) THEN 'excluded genre ' || array_to_string(list_sort(list_intersect(i.genres, c.excluded_genres)), ', ') END,
-    CASE WHEN NOT list_has_all(i.genres, c.required_genres) THEN 'missing required genre' END,
-    CASE WHEN c.year_min IS NOT NULL AND coalesce(i.year < c.year_min, true) THEN 'below minimum year' END,
-    CASE WHEN c.year_max IS NOT NULL AND coalesce(i.year > c.year_max, true) THEN 'above maximum year' END], lambda z: z IS NOT NULL), '; ') AS reasons
+    CASE WHEN EXISTS (SELECT 1 FROM inter b WHERE b.rating < 4 AND b.user_id = t.user_id AND b.item_id = t.test_item) THEN 'id is ruled out' END,
+    CASE WHEN list_has_any(i.genres, c.excluded_genres) THEN 'has unwanted genre ' || array_to_string(list_sort(list_intersect(i.genres, c.excluded_genres)), ', ') END,
+    CASE WHEN NOT list_has_all(i.genres, c.required_genres) THEN 'lacks a wanted genre' END,
+    CASE WHEN c.year_min IS NOT NULL AND coalesce(i.year < c.year_min, true) THEN 'older than asked' END,
+    CASE WHEN c.year_max IS NOT NULL AND coalesce(i.year > c.year_max, true) THEN 'newer than asked' END], lambda z: z IS NOT NULL), '; ') AS reasons
   FROM targets t JOIN items i ON i.item_id = t.test_item JOIN cons c ON c.user_id = t.user_id) WHERE reasons <> ''""")
 
 

@@ -90,7 +90,7 @@ def test_trace_compliance_and_plans(spark):
     assert not episodes.trace_compliance(df.filter("tool <> 'semantic_retrieve'"), need).first()["compliant"]
     assert episodes.plan_valid(df, need).first()["plan_valid"]
     late = df.withColumn("position", F.when(F.col("tool") == "hard_filter", 9).otherwise(F.col("position")))
-    assert episodes.plan_valid(late).first()["reason"] == "hard_filter must run before retrieval"
+    assert episodes.plan_valid(late).first()["reason"] == "filtering comes after retrieval"
 
 
 def features_fixture(spark, users=12, n=40):

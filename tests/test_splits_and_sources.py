@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from recspark.operators import cohorts, splits
 from recspark.sources.files import read_interactions, read_items
@@ -11,13 +14,15 @@ def inter(spark, rows):
 
 
 def test_text_sources(spark, tmp_path):
-    (tmp_path / "items.dat").write_bytes("1::Toy Story (1995)::Animation|Children's|Comedy\n2::Caf\xe9::Drama\n".encode("latin-1"))
-    (tmp_path / "ratings.dat").write_text("7::2::2::200\n\n")
-    rows = {r["item_id"]: r for r in read_items(spark, str(tmp_path / "items.dat")).collect()}
-    assert rows[1]["year"] == 1995 and rows[1]["genres"] == ["Animation", "Children's", "Comedy"]
-    assert rows[2]["title"] == "Café" and rows[2]["year"] is None
-    got = read_interactions(spark, str(tmp_path / "ratings.dat")).collect()
-    assert [(r["user_id"], r["item_id"], r["rating"], r["ts"]) for r in got] == [(7, 2, 2, 200)]
+    catalog, log = tmp_path / "catalog.txt", tmp_path / "log.txt"
+    catalog.write_bytes("31::Die Brücke (II) (1959)::War\n\n8::Untitled (12)::Short|Sport|War\n40::Año 2000 (1987) ::\n".encode("latin-1"))
+    log.write_text("\n3::40::1::0\n3::8::5::4102444800\n")
+    rows = {r["item_id"]: (r["title"], r["year"], r["genres"]) for r in read_items(spark, str(catalog)).filter("item_id IS NOT NULL").collect()}
+    assert rows[31] == ("Die Brücke (II) (1959)", 1959, ["War"])
+    assert rows[8] == ("Untitled (12)", None, ["Short", "Sport", "War"])
+    assert rows[40][1] == 1987
+    got = read_interactions(spark, str(log)).orderBy("ts").collect()
+    assert [(r["user_id"], r["item_id"], r["rating"], r["ts"]) for r in got] == [(3, 40, 1, 0), (3, 8, 5, 4102444800)]
 
 
 def test_malformed_ratings_fail(spark, tmp_path):
@@ -26,28 +31,53 @@ def test_malformed_ratings_fail(spark, tmp_path):
         read_interactions(spark, str(tmp_path / "ratings.dat")).collect()
 
 
-def test_chronological_split(spark):
-    df = inter(spark, [(1, 1, 5, 100), (1, 2, 2, 200), (1, 3, 4, 300), (1, 4, 5, 400), (2, 9, 5, 1), (2, 8, 5, 2)])
-    train, targets = splits.chronological_split(df)
-    assert sorted(r["item_id"] for r in train.filter("user_id = 1").collect()) == [1, 2]
-    assert [tuple(r) for r in targets.collect()] == [(1, 3, 4)]
-    assert train.filter("user_id = 2").count() == 2
-
-
-def test_leakage_safe_split(spark):
-    rows = [(1, 99, 2, 1), (1, 1, 5, 2), (1, 2, 5, 3), (1, 3, 5, 4), (1, 4, 5, 5), (1, 100, 2, 6), (2, 5, 5, 1), (2, 6, 5, 2), (2, 7, 5, 3)]
-    targets, history, legal = splits.leakage_safe_split(inter(spark, rows[::-1]))
-    assert sorted(tuple(r) for r in targets.collect()) == [(1, 2, 3, 4), (2, 5, 6, 7)]
-    ids = lambda df: sorted(r["item_id"] for r in df.filter("user_id = 1").collect())
-    assert ids(history) == [1, 99] and ids(legal) == [1, 2, 99]
-
-
-def test_leakage_safe_split_duplicates(spark):
-    rows = [(1, 1, 5, 1), (1, 2, 5, 2), (1, 2, 5, 3), (1, 3, 5, 4), (1, 4, 5, 5)]
-    targets, history, legal = splits.leakage_safe_split(inter(spark, rows))
-    assert targets.first()["ranker_item"] == 2
-    assert [r["item_id"] for r in history.collect()] == [1]
-    assert sorted(r["item_id"] for r in legal.collect()) == [1, 2, 2]
+def random_log(seed, users=40, rows=260, items=9):
+    """Rows with repeated items, tied times and users of all sizes."""
+    rng = random.Random(seed)
+    return [(int(users * rng.random() ** 2), rng.randrange(items), rng.randint(1, 5), rng.randrange(40)) for _ in range(rows)]
+
+
+def liked(rows, user):
+    """A user's positive rows in time, ties by item and place in the log."""
+    return sorted((t, i, n) for n, (u, i, r, t) in enumerate(rows) if u == user and r >= 4)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_chronological_split_row_by_row(spark, seed):
+    log = random_log(seed)
+    train, targets = splits.chronological_split(inter(spark, log))
+    held, want = set(), []
+    for u in {row[0] for row in log}:
+        own = liked(log, u)
+        if len(own) > 2:
+            held |= {n for *_, n in own[-2:]}
+            want.append((u, own[-2][1], own[-1][1]))
+    assert sorted(r["row_key"] for r in train.collect()) == sorted(set(range(len(log))) - held)
+    assert sorted(tuple(r) for r in targets.collect()) == sorted(want) and 0 < len(want) < len({row[0] for row in log})
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_leakage_safe_split_row_by_row(spark, seed):
+    log = random_log(seed)
+    targets, history, legal = splits.leakage_safe_split(inter(spark, log))
+    want, before, allowed = {}, [], []
+    for u in {row[0] for row in log}:
+        last = {}
+        for n, (v, i, r, t) in enumerate(log):
+            if v == u and r >= 4:
+                last[i] = max(last.get(i, (-1, -1)), (t, r))
+        order = sorted(last, key=lambda i: (last[i][0], i, last[i][1]))
+        if len(order) > 2:
+            want[u] = order[-3:]
+    assert {r["user_id"]: [r["ranker_item"], r["validation_item"], r["test_item"]] for r in targets.collect()} == want
+    for name, rows in (("history", history), ("legal", legal)):
+        for u, own in want.items():
+            got = {r["item_id"] for r in rows.filter(F.col("user_id") == u).collect()}
+            gone = set(own) if name == "history" else set(own[1:])
+            assert not got & gone, name
+            # What was before the ranker target in time and is no target stays.
+            start = max(t for v, i, r, t in log if v == u and i == own[0] and r >= 4)
+            assert {i for v, i, _, t in log if v == u and t < start} - set(own) <= got, name
 
 
 def test_group_kfold_is_reversed_round_robin(spark):
