@@ -31,6 +31,8 @@ HEADLINE = (
     "als_retrieve",
     "graph_propagate",
     "fold_preferences",
+    "tfidf_constrained",
+    "paired_bootstrap",
 )
 
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from recspark.functions.ordering import nearest_rank, numbered_by_id
-from recspark.functions.portable import draw
+from recspark.session import stored
 
+#: Users whose values one task of a resampling holds, and draws made at once.
+RESAMPLE_BLOCK, DRAWS = 1 << 22, 1 << 16
 METRICS = ("recall_at_10", "ndcg_at_10", "mrr_at_10", "candidate_recall")
 
 
@@ -121,7 +128,7 @@ def bootstrap_deltas(
     """Percentile interval of the mean paired difference, for all pairs in one job.
 
     Draw ``i`` of resample ``b`` takes user ``draw(seed, b, i) mod n``. All pairs
-    share the draws. Draws are aggregated per resample before the shuffle.
+    share the draws.
     """
     if resamples <= 0:
         raise ValueError("resamples must be positive")
@@ -134,12 +141,8 @@ def bootstrap_deltas(
     size = bounded_count(n)
     if size == 0:
         raise ValueError("paired bootstrap needs at least one user")
-    draws = (
-        indexed.select(F.col("j").alias("i"))
-        .withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-        .select("b", F.pmod(draw(seed, F.col("b"), F.col("i")), F.lit(size)).alias("j"))
-    )
-    means = draws.join(indexed, "j").groupBy("b").agg(*[F.avg(d).alias(d) for d in names])
+    sums = resample_sums(indexed, names, size, seed, resamples)
+    means = sums.groupBy("b").agg(*[(F.sum(d) / F.lit(size)).alias(d) for d in names])
     bounds = means.agg(
         *[F.percentile(d, F.array(F.lit(0.025), F.lit(0.975))).alias(d) for d in names],
     )
@@ -161,6 +164,43 @@ def bootstrap_deltas(
     return joined.select(F.explode(rows).alias("r"), "users").select("r.*", "users")
 
 
+def resample_sums(indexed: DataFrame, names: list[str], size: int, seed: int, resamples: int, block: int = RESAMPLE_BLOCK) -> DataFrame:
+    """``(b, *names)``: per resample and block of users the sums of the drawn rows.
+
+    ``indexed(j, *names)`` numbers the users from 0. Their values are packed into blocks;
+    a task holds one block and makes the draws of some resamples, of which it adds up
+    those that fall into its block. So neither draws nor users are shuffled, whatever
+    their number; draws are made once per block of ``block`` users."""
+    number = F.floor(F.col("j") / block).cast("int")
+
+    def build(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("j")
+        values = np.stack([rows.column(c).to_numpy() for c in names], axis=1)
+        return pa.table({"lo": rows.column("j").slice(0, 1), "block": pa.array([values.tobytes()], pa.binary())})
+
+    packed = stored(indexed.withColumn("ub", number).groupBy("ub").applyInArrow(build, "lo bigint, block binary"), "deltas")
+    cores = indexed.sparkSession.sparkContext.defaultParallelism
+    parts = min(resamples, max(1, math.ceil(4 * cores * block / max(size, block))))
+    cells = packed.select("lo", "block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).repartition(parts, "lo", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, blob, part in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                values = np.frombuffer(blob).reshape(-1, len(names))
+                own = range(1 + part, resamples + 1, parts)
+                total = np.zeros((len(own), len(names)))
+                for first in range(0, size, DRAWS):
+                    keys = [b"%d" % i for i in range(first, min(first + DRAWS, size))]
+                    for n, b in enumerate(own):
+                        head = b"%d|%d|" % (seed, b)
+                        heads = b"".join([md5(head + k).digest()[:4] for k in keys])
+                        at = np.frombuffer(heads, ">u4").astype(np.int64) % size - lo
+                        total[n] += values[at[(at >= 0) & (at < len(values))]].sum(axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array(c) for c in total.T)], ["b", *names])
+
+    return cells.mapInArrow(run, "b int, " + ", ".join(f"{c} double" for c in names))
+
+
 def bounded_count(counted: DataFrame) -> int:
     return int(counted.first()[0])
 

@@ -133,3 +133,21 @@ def test_text_route_for_any_block_size(spark, monkeypatch):
     assert by_user(text.tfidf_retrieve(vectors, idf, queries, 7, None, states, docs)) == whole and len(whole) == 12
     late = {r["item_id"] for r in docs.filter(F.col("year") >= 1992).collect()}
     assert all(i in late for u in range(6) for i, _ in whole[u])
+
+
+@pytest.mark.parametrize("block", [4, 1 << 22])
+def test_resample_sums_equal_single_draws(spark, block):
+    """The portable draws of every resample, added up whichever block a user stands in."""
+    from hashlib import md5
+
+    from recspark.operators import metrics
+
+    rng = np.random.default_rng(9)
+    values = rng.normal(size=(11, 2))
+    df = spark.createDataFrame([(j, float(a), float(b)) for j, (a, b) in enumerate(values)], "j bigint, d0 double, d1 double")
+    sums = metrics.resample_sums(df, ["d0", "d1"], 11, 42, 30, block).groupBy("b").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
+    got = {r["b"]: (r["d0"], r["d1"]) for r in sums.collect()}
+    for b in range(1, 31):
+        drawn = [int(md5(f"42|{b}|{i}".encode()).hexdigest()[:8], 16) % 11 for i in range(11)]
+        assert np.allclose(got[b], values[drawn].sum(axis=0))
+    assert len(got) == 30

@@ -6,7 +6,8 @@ import __spark_entry__ as entry
 from tests.check import compare, connect
 
 SF = "/root/testdata/sf0.001"
-FAST = ["legal_train", "ranker_history", "hard_filter", "itemcf_retrieve", "fuse_minmax_linear", "fold_preferences", "group_kfold"]
+FAST = ["legal_train", "ranker_history", "hard_filter", "itemcf_retrieve", "fuse_minmax_linear", "fold_preferences", "group_kfold",
+        "allowed_candidates", "tfidf_constrained", "ranking_constraint_check", "lambdamart_lambdas"]
 
 
 def test_names_match():
