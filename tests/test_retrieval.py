@@ -194,7 +194,7 @@ def test_bpr_gradient_matches_finite_differences(spark):
 
     table = lambda m, key: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(m)], f"{key} bigint, f0 double, f1 double")
     triplets = spark.createDataFrame(trip, "draw_id bigint, user_id bigint, positive_item bigint, negative_item bigint")
-    gu, gi = bpr.step_gradients(triplets, table(u, "user_id"), table(v, "item_id"), 2, 0.1)
+    gu, gi, _ = bpr.step_gradients(triplets, table(u, "user_id"), table(v, "item_id"), 2, 0.1)
     for grad, which in ((gu, 0), (gi, 1)):
         for r in grad.collect():
             for c in range(2):
@@ -204,6 +204,63 @@ def test_bpr_gradient_matches_finite_differences(spark):
                 assert r[f"f{c}"] == pytest.approx((loss(*hi) - loss(*lo)) / 2e-6, abs=1e-5)
 
 
+def taste_rows(spark, copies):
+    """Two groups of 20 users, each liking its own half of 12 items, all users ``copies`` times."""
+    rows = [(100 * c + u, i, 5, 1, i) for c in range(copies) for u in range(20) for i in range(12) if i % 2 == u % 2 and (u + i) % 5]
+    return spark.createDataFrame(rows, INTER)
+
+
+def likes_above_rest(users, items, df):
+    """Mean score of the liked over that of the other items of a user's positives."""
+    u = {r["user_id"]: np.array(r["factor"]) for r in users.collect()}
+    v = {r["item_id"]: np.array(r["factor"]) for r in items.collect()}
+    liked = {(r["user_id"], r["item_id"]) for r in df.collect()}
+    assert set(u) == {a for a, _ in liked} and set(v) == {b for _, b in liked}
+    return np.mean([u[a] @ v[b] for a, b in liked]) - np.mean([u[a] @ v[b] for a in u for b in v if (a, b) not in liked])
+
+
+def test_bpr_steps_of_one_block_match_plain_steps(spark):
+    df = taste_rows(spark, 1)
+    users, items = bpr.bpr_fit(df, rank=2, epochs=1, lr=0.01, reg=0.1, seed=3)
+    pos = df.select("user_id", "item_id")
+    start = lambda key: {r[0]: np.array(r[1:]) for r in bpr._start(pos.select(key).distinct(), key, 2, 3, key[:4]).collect()}
+    u, v = start("user_id"), start("item_id")
+    drawn = bpr.bpr_triplets(pos, bpr.LEAST_STEPS * bpr.STEP_ROWS, 3, 0).orderBy("draw_id").collect()
+    for lo in range(0, len(drawn), bpr.STEP_ROWS):
+        batch = drawn[lo : lo + bpr.STEP_ROWS]
+        old_u, old_v = {k: x.copy() for k, x in u.items()}, {k: x.copy() for k, x in v.items()}
+        norm = lambda side, key: 0.1 / np.sqrt(sum(side[r[key]] @ side[r[key]] for r in batch))
+        su, sp, sn = norm(old_u, "user_id"), norm(old_v, "positive_item"), norm(old_v, "negative_item")
+        for _, a, p, n in batch:
+            x, y, z = old_u[a], old_v[p], old_v[n]
+            c = -1 / (1 + np.exp(x @ (y - z)))
+            u[a] = u[a] - 0.01 * (c * (y - z) + su * x)
+            v[p] = v[p] - 0.01 * (c * x + sp * y)
+            v[n] = v[n] - 0.01 * (-c * x + sn * z)
+    assert all(np.allclose(r["factor"], u[r["user_id"]], atol=1e-9) for r in users.collect())
+    assert all(np.allclose(r["factor"], v[r["item_id"]], atol=1e-9) for r in items.collect())
+
+
+def test_bpr_learns_the_same_from_more_blocks(spark):
+    fit = lambda copies: likes_above_rest(
+        *bpr.bpr_fit(taste_rows(spark, copies), rank=4, lr=0.06, epochs=1, draws_per_user=400, block_users=40), taste_rows(spark, copies))
+    small, large = fit(2), fit(20)
+    assert small > 0.3 and large == pytest.approx(small, rel=0.5)
+
+
+def test_lightgcn_step_keeps_its_length(spark):
+    fit = lambda copies: likes_above_rest(
+        *graph.lightgcn_fit(taste_rows(spark, copies), rank=3, layers=1, lr=0.06, epochs=1, draws_per_user=100), taste_rows(spark, copies))
+    small, large = fit(2), fit(20)
+    assert small > 0 and 0 < large < 3 * small
+
+
+def test_no_positives_give_empty_factors(spark):
+    none = taste_rows(spark, 1).filter("rating < 4")
+    for fitted in (bpr.bpr_fit(none, rank=2, epochs=1), graph.lightgcn_fit(none, rank=2, layers=1, epochs=1)):
+        assert all(t.isEmpty() for t in fitted)
+
+
 def test_graph_propagation_matches_matrix_power(spark):
     df = spark.createDataFrame([(0, 0, 5, 1, 0), (0, 1, 5, 1, 1), (1, 1, 5, 1, 2), (1, 1, 4, 1, 3)], INTER)
     edges = graph.normalized_edges(df)
