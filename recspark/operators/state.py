@@ -10,6 +10,7 @@ SOFT_GENRES = ("liked_genres", "disliked_genres")
 SCALARS = ("year_min", "year_max", "requested_count", "ranking_mode")
 # fixed values: defaults and limits of a preference state
 DEFAULT_COUNT, MAX_COUNT, DEFAULT_MODE = 10, 100, "balanced"
+TURN_RANGE = 4096  # turns of a session that one window task orders
 
 
 def genre_counts(hist: DataFrame, items: DataFrame) -> DataFrame:
@@ -90,11 +91,19 @@ def fold_preferences(patches: DataFrame, key: str = "session_id", order: str = "
 def _broken(patches: DataFrame, key: str, order: str) -> DataFrame:
     """Per session: does the state after any patch break the year range or the count.
 
-    Only patches that set a year are ranked; the rest is a partial aggregate."""
-    so_far = Window.partitionBy(key).orderBy(order)
+    Only patches that set a year are ranked, within ranges of ``TURN_RANGE`` turns; each
+    range starts from the last years of the ranges before it, so a session of any
+    length is spread over as many tasks as it has ranges. ``order`` is a number."""
     dated = patches.filter("year_min IS NOT NULL OR year_max IS NOT NULL").select(
-        key, (F.last("year_min", True).over(so_far) > F.last("year_max", True).over(so_far)).alias("bad"))
-    years = dated.groupBy(key).agg(F.bool_or("bad").alias("broken_years"))
+        key, F.col(order).alias("__turn"), F.floor(F.col(order) / TURN_RANGE).alias("__range"), "year_min", "year_max")
+    years = ("year_min", "year_max")
+    before = Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = dated.groupBy(key, "__range").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__turn"))).alias(c) for c in years])
+    starts = ends.select(key, "__range", *[F.last(c, True).over(before).alias(f"__{c}") for c in years])
+    so_far = Window.partitionBy(key, "__range").orderBy("__turn")
+    low, high = (F.coalesce(F.last(c, True).over(so_far), F.col(f"__{c}")) for c in years)
+    judged = dated.join(starts, [key, "__range"]).select(key, (low > high).alias("bad"))
+    years = judged.groupBy(key).agg(F.bool_or("bad").alias("broken_years"))
     counts = patches.groupBy(key).agg(F.bool_or(~F.col("requested_count").between(1, MAX_COUNT)).alias("broken_count"))
     return counts.join(years, key, "left")
 

@@ -11,50 +11,68 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from recspark.operators.state import DEFAULT_COUNT, DEFAULT_MODE, HARD_GENRES, ID_FIELDS, MAX_COUNT, SCALARS, SOFT_GENRES
 
 OUTPUT = "session_id bigint, turn int, field string, value string"
-# since: turn of the last soft replacement; soft: (field, turn, value); fixed: (field, value); scalars: (field, turn, value)
+# since: turn of the last soft replacement; soft: (field, turn, value); fixed: (field, value); scalars: (field, turn, value);
+# dated: (turn, year_min, year_max) of every patch with a year; miscounted: some patch asked for too few or too many
 STATE = (
     "since int, last int, soft array<struct<field: string, turn: int, value: string>>, "
-    "fixed array<struct<field: string, value: string>>, scalars array<struct<field: string, turn: int, value: string>>"
+    "fixed array<struct<field: string, value: string>>, scalars array<struct<field: string, turn: int, value: string>>, "
+    "dated array<struct<turn: int, year_min: int, year_max: int>>, miscounted boolean"
 )
 
 
+def _values(batch: pd.DataFrame, field: str) -> pd.DataFrame:
+    """The distinct ``(turn, value)`` of a list column, values as text."""
+    pairs = batch[["turn", field]].explode(field).dropna()
+    return pairs.astype({"turn": int, field: str}).drop_duplicates()
+
+
+def _years_cross(dated: set) -> bool:
+    """Does the state after any turn have year_min above year_max."""
+    turns = pd.DataFrame(dated, columns=["turn", "low", "high"], dtype=float).groupby("turn").last().ffill()
+    return bool((turns["low"] > turns["high"]).any())
+
+
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None = None) -> Iterator[pd.DataFrame]:
     """Merge the new patches of one session, whatever their order, and emit the state after them."""
     if state.hasTimedOut:
         state.remove()
         return
-    since, last, soft, fixed, scalars, newest = -1, -1, set(), set(), {}, None
+    since, last, soft, fixed, scalars, dated, miscounted, newest = -1, -1, set(), set(), {}, set(), False, None
     if state.exists:
-        since, last, old_soft, old_fixed, old_scalars = state.get
-        soft, fixed = {tuple(s) for s in old_soft}, {tuple(f) for f in old_fixed}
+        since, last, old_soft, old_fixed, old_scalars, old_dated, miscounted = state.get
+        soft, fixed, dated = ({tuple(row) for row in old} for old in (old_soft, old_fixed, old_dated))
         scalars = {f: (t, v) for f, t, v in old_scalars}
     for batch in batches:
-        for row in batch.to_dict("records"):
-            turn = int(row["turn"])
-            newest = max(newest or 0, int(pd.Timestamp(row["event_time"]).timestamp() * 1000))
-            last = max(last, turn)
-            if row["replace_soft"]:
-                since = max(since, turn)
-            for f in (*ID_FIELDS, *HARD_GENRES):
-                fixed.update((f, str(v)) for v in row[f])
-            for f in SOFT_GENRES:
-                soft.update((f, turn, str(v)) for v in row[f])
-            for f in SCALARS:
-                if row[f] is not None and not pd.isna(row[f]) and turn >= scalars.get(f, (-1, ""))[0]:
-                    value = row[f] if isinstance(row[f], str) else str(int(row[f]))
-                    scalars[f] = (turn, value)
-    low, high, wanted = (scalars.get(f, (0, None))[1] for f in ("year_min", "year_max", "requested_count"))
-    if low is not None and high is not None and int(low) > int(high):
-        raise ValueError("a patch leaves year_min above year_max")
-    if wanted is not None and not 1 <= int(wanted) <= MAX_COUNT:
-        raise ValueError(f"requested_count must be 1 to {MAX_COUNT}")
+        newest = max(newest or 0, int(pd.Timestamp(batch["event_time"].max()).timestamp() * 1000))
+        last = max(last, int(batch["turn"].max()))
+        replaced = batch.loc[batch["replace_soft"].eq(True), "turn"]
+        since = max(since, int(replaced.max())) if len(replaced) else since
+        for f in (*ID_FIELDS, *HARD_GENRES):
+            fixed.update((f, v) for v in _values(batch, f)[f])
+        for f in SOFT_GENRES:
+            pairs = _values(batch, f)
+            soft.update((f, int(t), v) for t, v in zip(pairs["turn"], pairs[f]))
+        for f in SCALARS:
+            given = batch.loc[batch[f].notna(), ["turn", f]].sort_values("turn", kind="stable").tail(1)
+            for t, v in zip(given["turn"], given[f]):
+                if t >= scalars.get(f, (-1, ""))[0]:
+                    scalars[f] = (int(t), v if isinstance(v, str) else str(int(v)))
+        years = batch.loc[batch["year_min"].notna() | batch["year_max"].notna(), ["turn", "year_min", "year_max"]]
+        whole = lambda c: [None if pd.isna(v) else int(v) for v in years[c]]
+        dated.update(zip(whole("turn"), whole("year_min"), whole("year_max")))
+        wanted = batch["requested_count"].dropna()
+        miscounted = bool(miscounted or (~wanted.between(1, MAX_COUNT)).any())
+    errors = ["a patch leaves year_min above year_max"] if _years_cross(dated) else []
+    errors += [f"requested_count must be 1 to {MAX_COUNT}"] if miscounted else []
     soft = {s for s in soft if s[1] >= since}
-    state.update((since, last, sorted(soft), sorted(fixed), sorted((f, t, v) for f, (t, v) in scalars.items())))
+    state.update((since, last, sorted(soft), sorted(fixed), sorted((f, t, v) for f, (t, v) in scalars.items()),
+                  sorted(dated, key=str), miscounted))
     if idle_ms is not None and newest is not None and newest + idle_ms > state.getCurrentWatermarkMs():
         state.setTimeoutTimestamp(newest + idle_ms)
     defaults = {"requested_count": str(DEFAULT_COUNT), "ranking_mode": DEFAULT_MODE}
     rows = set(fixed) | {(f, v) for f, _, v in soft}
     rows |= {(f, scalars[f][1] if f in scalars else defaults[f]) for f in SCALARS if f in scalars or f in defaults}
+    rows |= {("error", message) for message in errors}
     out = pd.DataFrame(sorted(rows), columns=["field", "value"])
     out.insert(0, "turn", last)
     out.insert(0, "session_id", key[0])
@@ -66,7 +84,8 @@ def preference_stream(patches: DataFrame, watermark: str = "1 day", idle_days: f
 
     The result of the last output per session equals the batch fold of all
     accepted rows. Patches may come in any order; rows older than the watermark
-    are dropped. A session keeps its state for good, or for ``idle_days`` of event
+    are dropped. Every patch is checked in turn order, as the batch fold does; where that
+    raises, a session here gets a row ``(error, message)`` and other sessions go on. A session keeps its state for good, or for ``idle_days`` of event
     time after its last patch if given.
     """
     source = patches.withWatermark("event_time", watermark)

@@ -169,6 +169,31 @@ def test_fold_replaces_soft_and_keeps_hard(spark):
         state.fold_preferences(spark.createDataFrame([patch(1, low=2000, high=1990)], PATCH)).collect()
 
 
+def test_fold_checks_years_across_turn_ranges(spark):
+    wide = state.TURN_RANGE + 1
+    fine = [patch(1, low=1990), patch(2, high=1995), patch(wide, high=1991), patch(3 * wide, low=1991)]
+    state.fold_preferences(spark.createDataFrame(fine, PATCH)).collect()
+    # A range that a later patch mends again is an error all the same.
+    for bad in ([*fine, patch(2 * wide, low=1992)], [patch(1, low=1990), patch(wide, high=1980), patch(2 * wide, low=1970)]):
+        with pytest.raises(Exception, match="year_min"):
+            state.fold_preferences(spark.createDataFrame(bad, PATCH)).collect()
+
+
+def test_stream_reports_a_broken_session_and_goes_on(spark, tmp_path):
+    rows = [patch(1, low=1990), patch(3, low=1970), patch(2, high=1980), patch(1, low=1980, session=2)]
+    src, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    for r in rows:
+        spark.createDataFrame([r], PATCH).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    save = lambda batch, n: batch.write.mode("append").parquet(sink)
+    preference_stream(stream).writeStream.outputMode("update").foreachBatch(save).option(
+        "checkpointLocation", str(tmp_path / "marks")
+    ).trigger(availableNow=True).start().awaitTermination()
+    got = {(r["session_id"], r["field"]): r["value"] for r in spark.read.parquet(sink).collect()}
+    assert got[(1, "error")] == "a patch leaves year_min above year_max"
+    assert (2, "error") not in got and got[(2, "year_min")] == "1980"
+
+
 def test_stream_equals_fold_whatever_the_order(spark, tmp_path):
     rows = [patch(1, genres=["A"]), patch(2, True, genres=["B"], low=1980), patch(3, genres=["C"], liked=[7], low=1970), patch(1, genres=["Z"], session=2)]
     src, sink = str(tmp_path / "in"), str(tmp_path / "out")

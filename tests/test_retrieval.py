@@ -166,6 +166,7 @@ def test_als_solves_its_normal_equations_and_salts_agree(spark, monkeypatch):
     hist = df.filter("rating >= 4").select("user_id", "item_id")
     got = {r["user_id"]: np.array(r["factor"]) for r in als.als_user_factors(factors, hist, 3).collect()}
     monkeypatch.setattr(als, "SALT_ROWS", 1)
+    monkeypatch.setattr(als, "FAN", 2)  # sums of three salts meet in two levels
     salted = {r["user_id"]: np.array(r["factor"]) for r in als.als_user_factors(factors, hist, 3).collect()}
     for u, x in got.items():
         h = np.vstack([y[i] for i in range(8) if (u + i) % 3 == 0])
