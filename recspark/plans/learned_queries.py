@@ -187,7 +187,7 @@ GROUP BY draw_id, user_id, positive_item""")
 
 @query("bpr_rank")
 def _bpr_rank(x: Inputs):
-    users, items = bpr.bpr_fit(x.legal_positives, rank=8, epochs=2, draws_per_user=10)
+    users, items = bpr.bpr_fit(x.legal_positives)
     top = bpr.factor_topk(users, items, x.items, 10, x.seen)
     return top.select("user_id", "item_id", *longs("rank"), *rounded("score"))
 
