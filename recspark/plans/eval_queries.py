@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recspark.operators import ablation, episodes, filters, fusion, gates, itemcf, metrics, text
+from recspark.operators import ablation, episodes, filters, fusion, gates, itemcf, metrics, state, text
 from recspark.plans.base_queries import direct_metrics, metric_cte, two_methods
 from recspark.plans.context import Inputs, longs, query, rounded
 from recspark.plans.oracle import cte, oracle
@@ -217,12 +217,21 @@ oracle("candidate_diagnostics", "diag", "SELECT * FROM diag")
 
 @query("episode_metrics")
 def _episode_metrics(x: Inputs):
-    """Conversations joined with the evaluated user of the same number."""
+    """Conversations joined with the evaluated user of the same number.
+
+    Preferences are retained if the user's folded session still holds every value it was
+    ever given; a label is eligible if the target satisfies the user's constraints.
+    """
     r = Routes(x)
     top = stored(fused_top(r), "fused")
     logs = rolled(x).withColumnRenamed("case_id", "user_id").join(x.goals.select("user_id"), "user_id", "left_semi")
     compliant = episodes.trace_compliance(turn_table(x), REQUIRED).withColumnRenamed("case_id", "user_id")
-    cases = logs.join(compliant, "user_id").withColumn("retained", F.lit(None).cast("boolean")).withColumn("label_eligible", F.lit(True))
+    patches = testdata.patches(x.spark, x.sf_dir)
+    everything = state.fold_preferences(patches.withColumn("replace_soft", F.lit(False)))
+    kept = filters.preference_retention(state.fold_preferences(patches), everything).withColumnRenamed("session_id", "user_id")
+    fitting = filters.hard_filter(x.goals, x.items, x.constraints).groupBy("user_id").agg(F.lit(True).alias("fits"))
+    cases = logs.join(compliant, "user_id").join(kept, "user_id", "left").join(fitting, "user_id", "left").withColumn(
+        "label_eligible", F.coalesce("fits", F.lit(False))).drop("fits")
     ids = stored(cases, "cases")
     mine = lambda df: df.join(ids.select("user_id"), "user_id", "left_semi")
     excluded = x.inter.filter("rating < 3").select("user_id", "item_id")
@@ -233,8 +242,14 @@ def _episode_metrics(x: Inputs):
     return out.select(*longs(*whole), *rounded(*[c for c in out.columns if c not in whole]))
 
 
-cte("epi", "rolled goals compliance fusedtop diag allowedcons inter", """
-SELECT r.*, c.compliant, g.item_id AS target, f.rank,
+cte("kept", "folded foldedsoft", """
+SELECT w.session_id, bool_and(h.value IS NOT NULL) AS retained
+FROM foldedsoft w LEFT JOIN (
+  SELECT session_id, field, value FROM folded UNION SELECT session_id, 'disliked_genres', value FROM folded WHERE field = 'excluded_genres') h
+USING (session_id, field, value) GROUP BY w.session_id""")
+cte("epi", "rolled goals compliance fusedtop diag allowedcons inter kept", """
+SELECT r.*, c.compliant, g.item_id AS target, f.rank, k.retained,
+  EXISTS (SELECT 1 FROM allowedcons a WHERE a.user_id = g.user_id AND a.item_id = g.item_id) AS label_eligible,
   coalesce((SELECT bool_and(a.item_id IS NOT NULL AND e.item_id IS NULL) FROM fusedtop t
      LEFT JOIN allowedcons a ON a.user_id = t.user_id AND a.item_id = t.item_id
      LEFT JOIN (SELECT DISTINCT user_id, item_id FROM inter WHERE rating < 3) e ON e.user_id = t.user_id AND e.item_id = t.item_id
@@ -242,14 +257,14 @@ SELECT r.*, c.compliant, g.item_id AS target, f.rank,
   (SELECT count(*) FROM fusedtop t WHERE t.user_id = r.case_id AND EXISTS (
      SELECT 1 FROM inter e WHERE e.rating < 3 AND e.user_id = t.user_id AND e.item_id = t.item_id)) AS hits,
   (SELECT count(*) FROM fusedtop t WHERE t.user_id = r.case_id) AS recs
-FROM rolled r JOIN goals g ON g.user_id = r.case_id JOIN compliance c USING (case_id)
+FROM rolled r JOIN goals g ON g.user_id = r.case_id JOIN compliance c USING (case_id) LEFT JOIN kept k ON k.session_id = r.case_id
 LEFT JOIN fusedtop f ON f.user_id = r.case_id AND f.item_id = g.item_id""")
 oracle("episode_metrics", "epi steps diag", """
 SELECT count(*) AS episodes, CAST(sum(model_calls) AS BIGINT) AS model_calls, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens,
   round(avg((rank IS NOT NULL)::INT), 6) AS recall, round(avg(coalesce(1 / log2(1.0 + rank), 0.0)), 6) AS ndcg, round(avg((rank IS NOT NULL)::INT), 6) AS hit_rate,
   round(avg(plan_valid::INT), 6) AS plan_valid_rate, round(avg(failed::INT), 6) AS episode_failure_rate, round(avg(fallback_used::INT), 6) AS fallback_rate,
   round(avg(satisfied::INT), 6) AS constraint_satisfaction_rate, round(sum(hits) / CAST(sum(recs) AS DOUBLE), 6) AS excluded_item_violation_rate,
-  CAST(0.0 AS DOUBLE) AS preference_retention_rate, CAST(1.0 AS DOUBLE) AS relevance_label_eligibility_rate, round(avg(compliant::INT), 6) AS compliance_rate,
+  round(coalesce(avg(retained::INT), 0.0), 6) AS preference_retention_rate, round(avg(label_eligible::INT), 6) AS relevance_label_eligibility_rate, round(avg(compliant::INT), 6) AS compliance_rate,
   (SELECT round(avg(success::INT), 6) FROM steps WHERE case_id IN (SELECT case_id FROM epi)) AS tool_success_rate,
   (SELECT round(avg(eligible::INT), 6) FROM diag WHERE user_id IN (SELECT case_id FROM epi)) AS final_state_target_eligibility_rate,
   (SELECT round(avg((itemcf_rank IS NOT NULL)::INT), 6) FROM diag WHERE user_id IN (SELECT case_id FROM epi)) AS itemcf_candidate_recall,
