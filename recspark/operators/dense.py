@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recspark.functions.ordering import top_k
-from recspark.functions.portable import SCORE_DIGITS
-from recspark.session import stored
+from recspark.operators import vector_balls
+from recspark.operators.masks import with_constraints
+from recspark.session import release, stored
 
-QUERY_BLOCK, ITEM_BLOCK = 2048, 4096
+#: Users of a query block, least items of a stripe, and numbers in a stripe's matrix.
+QUERY_BLOCK, ITEM_BLOCK, STRIPE_CELLS = 8192, 4096, 1 << 22
+#: Items of a ball, or k if that is more.
+LEAF = 512
+MAX_PARTITIONS = 1 << 16
 
 
 def divided(values: Column, by: Column) -> Column:
@@ -55,124 +58,72 @@ def _blocks(count: int, size: int, at_least: int) -> int:
     return max(1, min(max(math.ceil(count / size), at_least), max(count, 1)))
 
 
-def _tagged(df: DataFrame, kind: str, columns: dict[str, Column]) -> DataFrame:
-    """Rows of one kind in the common layout of a block task."""
-    empty = {
-        "user_id": F.lit(None).cast("bigint"),
-        "item_id": F.lit(None).cast("bigint"),
-        "weights": F.lit(None).cast("array<double>"),
-    }
-    return df.select("qb", "ib", F.lit(kind).alias("kind"), *[columns.get(c, e).alias(c) for c, e in empty.items()])
-
-
 def block_topk(
     queries: DataFrame, items: DataFrame, k: int, blocked: DataFrame | None = None, allowed: DataFrame | None = None,
+    states: DataFrame | None = None, catalog: DataFrame | None = None,
 ) -> DataFrame:
-    """Exact top ``k`` items per user by inner product.
-
-    ``queries(user_id, weights)`` and ``items(item_id, weights)``
-    are cut into blocks by hash. Each (query block, item block) cell is one task
-    group of bounded size: it multiplies its two matrices, drops the ``blocked``
-    pairs (and, given ``allowed(user_id, item_id)``, keeps only those), and
-    returns k rows per user. Only those rows are shuffled for the final ranking.
+    """Exact top ``k`` items per user by inner product, written and read back.
+
+    ``queries(user_id, weights)`` and ``items(item_id, weights)`` are packed into blocks,
+    one binary row each. A cell is a block of queries and a stripe of items; it searches
+    the stripe's balls (``vector_balls``), so vectors that can't reach a user's first k
+    are never multiplied, and returns k rows per user. A cell multiplies thousands of
+    users with each block it is sent, so the blocks moved are few beside the work.
+    ``blocked`` pairs are left out; given ``allowed(user_id, item_id)``, only those stay.
+    ``states`` holds hard constraints on the genres and years of ``catalog``, which act
+    in the cells before the k: no (profile, item) table is written. An item without a
+    genre list fails for every user who has a state.
     """
     if k <= 0:
         raise ValueError("k must be positive")
+    if states is not None and catalog is None:
+        raise ValueError("constraints need the items' genres and years")
     spark = queries.sparkSession
-    queries, items = stored(queries, "queries"), stored(items, "vectors")
+    vector = F.col("weights").cast("array<double>").alias("weights")
+    asked = stored(with_constraints(queries.select("user_id", vector), states), "queries")
+    about = items.select("item_id", vector)
+    if states is None:
+        about = about.withColumns({"genres": F.lit(None).cast("array<string>"), "year": F.lit(None).cast("int")})
+    else:
+        own = catalog.select("item_id", "genres", F.col("year").cast("int").alias("year")).dropDuplicates(["item_id"])
+        about = about.join(own, "item_id", "left")
+    about = stored(about, "vectors")
+    size = about.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("weights")), F.lit(1)).alias("width")).first()
+    stripes = _blocks(size["n"], max(ITEM_BLOCK, STRIPE_CELLS // max(1, size["width"])), 1)
     cores = spark.sparkContext.defaultParallelism
-    n_items = items.select("item_id").count()
-    nib = _blocks(n_items, ITEM_BLOCK, 1)
-    nqb = _blocks(queries.select("user_id").count(), QUERY_BLOCK, max(1, cores // nib))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    parts = _blocks(asked.count(), QUERY_BLOCK, max(1, cores // stripes))
+    block = lambda c, n: F.pmod(F.xxhash64(F.col(c).cast("bigint")), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    weights = F.col("weights").cast("array<double>")
-    rows = _tagged(
-        queries.withColumn("qb", block("user_id", nqb)).withColumn("ib", every(nib)), "q",
-        {"user_id": F.col("user_id"), "weights": weights},
-    ).unionByName(
-        _tagged(
-            items.withColumn("ib", block("item_id", nib)).withColumn("qb", every(nqb)), "i",
-            {"item_id": F.col("item_id"), "weights": weights},
-        )
-    )
-    for kind, pairs in (("b", blocked), ("a", allowed)):
-        if pairs is not None:
-            placed = pairs.select("user_id", "item_id").withColumn("qb", block("user_id", nqb)).withColumn("ib", block("item_id", nib))
-            rows = rows.unionByName(_tagged(placed, kind, {"user_id": F.col("user_id"), "item_id": F.col("item_id")}))
-    score = _block_scorer(k, allowed is not None)
-    local = rows.groupBy("qb", "ib").applyInArrow(score, "user_id bigint, item_id bigint, score double")
-    return top_k(local, k)
-
-
-def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(rows, -1)
-
-
-def first_k(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of each row's ``k`` greatest finite scores, rounded for the order; ties go to
-    the smaller column.
-
-    Only what is within a rounding of the row's kth score is rounded and sorted."""
-    row, col = np.nonzero(scores > -np.inf)
-    value = scores[row, col]
-    ends = np.searchsorted(row, np.arange(len(scores) + 1)).tolist()
-    near = np.ones(len(row), bool)
-    for lo, hi in zip(ends, ends[1:]):
-        if hi - lo > k:
-            own = value[lo:hi]
-            near[lo:hi] = own >= np.partition(own, hi - lo - k)[hi - lo - k] - 2 * 10.0**-SCORE_DIGITS
-    row, col = row[near], col[near]
-    order = np.lexsort((col, -np.round(scores[row, col], SCORE_DIGITS), row))
-    row, col = row[order], col[order]
-    first = np.searchsorted(row, row)
-    kept = np.arange(len(row)) - first < k
-    return row[kept], col[kept]
-
-
-def _block_scorer(k: int, restricted: bool):
-    def score(table: pa.Table) -> pa.Table:
-        part = lambda kind: table.filter(pc.equal(table.column("kind"), kind))
-        queries, items = part("q"), part("i").sort_by("item_id")
-        users = queries.column("user_id").to_numpy()
-        ids = items.column("item_id").to_numpy()
-        empty = pa.table({"user_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not len(users) or not len(ids):
-            return empty
-        left, right = _matrix(queries.column("weights"), len(users)), _matrix(items.column("weights"), len(ids))
-        order = np.argsort(users)
-
-        def cells(kind):
-            pairs = part(kind)
-            u, i = pairs.column("user_id").to_numpy(), pairs.column("item_id").to_numpy()
-            row = np.minimum(np.searchsorted(users, u, sorter=order), len(users) - 1)
-            col = np.minimum(np.searchsorted(ids, i), len(ids) - 1)
-            row = order[row]
-            hit = (users[row] == u) & (ids[col] == i)
-            return row[hit], col[hit]
-
-        raw = left @ right.T
-        scores = raw.copy()
-        if not np.isfinite(scores).all():
-            raise ValueError("similarity scores must be finite")
-        if restricted:
-            keep = np.full(scores.shape, -np.inf)
-            at = cells("a")
-            keep[at] = scores[at]
-            scores = keep
-        scores[cells("b")] = -np.inf
-        row, col = first_k(scores, k)  # ids are ascending, so the smaller column is the smaller id
-        return pa.table({"user_id": users[row], "item_id": ids[col], "score": raw[row, col]})
-
-    return score
+    leaf = max(k, min(LEAF, ITEM_BLOCK))
+    packed_items = stored(about.withColumn("ib", block("item_id", stripes)).groupBy("ib").applyInArrow(
+        lambda rows: vector_balls.pack_items(rows, leaf), "ib int, block binary"), "item-blocks")
+    packed_queries = stored(asked.withColumn("qb", block("user_id", parts)).groupBy("qb").applyInArrow(
+        vector_balls.pack_queries, "qb int, block binary"), "query-blocks")
+    cells = packed_items.select(every(parts).alias("qb"), "ib", F.lit(False).alias("asked"), "block").unionByName(
+        packed_queries.select("qb", every(stripes).alias("ib"), F.lit(True).alias("asked"), "block"))
+    # Few large cells: enough partitions that hardly two of them meet in one.
+    spread = lambda df: df.repartition(min(4 * parts * stripes, MAX_PARTITIONS), "qb", "ib").groupBy("qb", "ib")
+    place = lambda pairs, keep: pairs.select(
+        block("user_id", parts).alias("qb"), block("item_id", stripes).alias("ib"), "user_id", "item_id", F.lit(keep).alias("keep"))
+    marked = [place(pairs, keep) for pairs, keep in ((blocked, False), (allowed, True)) if pairs is not None]
+    schema, restricted = "user_id bigint, item_id bigint, score double", allowed is not None
+    if marked:
+        found = spread(cells).cogroup(spread(reduce(DataFrame.unionByName, marked))).applyInArrow(
+            lambda rows, pairs: vector_balls.search_cell(rows, pairs, k, restricted), schema)
+    else:
+        found = spread(cells).applyInArrow(lambda rows: vector_balls.search_cell(rows, None, k, False), schema)
+    out = stored(top_k(found, k), "top")
+    release(asked, about, packed_items, packed_queries)
+    return out
 
 
 def dense_retrieve(item_vectors: DataFrame, query_vectors: DataFrame, k: int = 100, blocked: DataFrame | None = None,
-                   allowed: DataFrame | None = None, vector: str = "embedding") -> DataFrame:
-    """Exact cosine top ``k`` over normalized vectors, seen items removed first."""
+                   allowed: DataFrame | None = None, vector: str = "embedding", states: DataFrame | None = None,
+                   catalog: DataFrame | None = None) -> DataFrame:
+    """Exact cosine top ``k`` over normalized vectors, seen items and those that break
+    a user's hard constraints removed first."""
     return block_topk(
         query_vectors.select("user_id", F.col(vector).alias("weights")),
         item_vectors.select("item_id", F.col(vector).alias("weights")),
-        k, blocked, allowed=allowed,
+        k, blocked, allowed, states, catalog,
     )

@@ -21,8 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from recspark.functions.portable import SCORE_DIGITS
-from recspark.operators.dense import first_k
 from recspark.operators.masks import CONSTRAINTS, BlockMasks, profiles_of, rows_allowed, with_constraints
+from recspark.operators.vector_balls import first_k
 from recspark.session import stored
 
 BLOCK_LINKS, PIECE_LINKS, BLOCK_USERS = 4_000_000, 250_000, 65_536

@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from recspark.functions.ordering import top_k
 from recspark.functions.portable import SCORE_DIGITS
-from recspark.operators.dense import first_k
 from recspark.operators.itemcf_blocks import BLOCK_USERS, _flat, _places, _table
 from recspark.operators.masks import CONSTRAINTS, BlockMasks, profiles_of, rows_allowed, with_constraints
+from recspark.operators.vector_balls import first_k
 from recspark.session import stored
 
 BLOCK_POSTINGS, GROUP_POSTINGS = 250_000, 4_000_000

@@ -70,7 +70,7 @@ def features_of(x: Inputs, version: str):
     if version != "v1":
         factors = als.als_fit(x.fit_rows, rank=8, iterations=2)
         mine = splits.restrict_users(x.history, x.goals)
-        latent = stored(als.als_retrieve(factors, mine, 8, DEPTH, blocked=x.seen), "latent")
+        latent = als.als_retrieve(factors, mine, 8, DEPTH, blocked=x.seen)
     return stored(feature_table(x, version, latent=latent), "features")
 
 

@@ -37,7 +37,7 @@ class Routes:
         x = self.x
         vectors = dense.embed_normalize(testdata.item_embeddings(x.spark, x.sf_dir))
         queries = dense.mean_vector(x.seen.join(x.goals.select("user_id"), "user_id", "left_semi"), vectors)
-        return stored(dense.dense_retrieve(vectors, queries, self.depth, x.seen), "dense")
+        return dense.dense_retrieve(vectors, queries, self.depth, x.seen)
 
 
 cte("tf", "items", """
@@ -213,6 +213,20 @@ def _dense_retrieve(x: Inputs):
 oracle("dense_retrieve", "denseeval", "SELECT user_id, item_id, rank, round(score, 6) AS score FROM denseeval")
 
 
+@query("dense_constrained")
+def _dense_constrained(x: Inputs):
+    """The vector route under each customer's hard constraints, which act before the top 20."""
+    vectors = dense.embed_normalize(testdata.item_embeddings(x.spark, x.sf_dir))
+    queries = dense.mean_vector(x.seen.join(x.goals.select("user_id"), "user_id", "left_semi"), vectors)
+    return ranked_columns(dense.dense_retrieve(vectors, queries, 20, x.seen, states=x.constraints, catalog=x.items))
+
+
+oracle("dense_constrained", "denserank allowedcons", """
+SELECT user_id, item_id, rank, round(score, 6) AS score FROM (
+  SELECT s.user_id, s.item_id, s.score, row_number() OVER (PARTITION BY s.user_id ORDER BY round(s.score, 9) DESC, s.item_id) AS rank
+  FROM denserank s JOIN allowedcons a ON a.user_id = s.user_id AND a.item_id = s.item_id) WHERE rank <= 20""")
+
+
 @query("candidate_union")
 def _candidate_union(x: Inputs):
     r = Routes(x)

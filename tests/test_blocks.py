@@ -1,5 +1,6 @@
 """Blocked retrieval against brute force: sparse similarities, postings, masks."""
 
+import pickle
 from collections import defaultdict
 
 import numpy as np
@@ -7,9 +8,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from recspark.operators import filters, itemcf, itemcf_blocks, postings, text
-from recspark.operators.dense import first_k
+from recspark.operators import dense, filters, itemcf, itemcf_blocks, postings, text, vector_balls
 from recspark.operators.masks import BlockMasks
+from recspark.operators.vector_balls import first_k
 
 STATES = "user_id bigint, required_genres array<string>, excluded_genres array<string>, year_min int, year_max int"
 
@@ -151,3 +152,88 @@ def test_resample_sums_equal_single_draws(spark, block):
         drawn = [int(md5(f"42|{b}|{i}".encode()).hexdigest()[:8], 16) % 11 for i in range(11)]
         assert np.allclose(got[b], values[drawn].sum(axis=0))
     assert len(got) == 30
+
+
+def ball_stripe(vectors, leaf):
+    """One stripe of packed balls, as a cell reads it."""
+    n = len(vectors)
+    rows = pa.table({"ib": pa.array([0] * n, pa.int32()), "item_id": pa.array(range(n), pa.int64()),
+                     "weights": pa.array([v.tolist() for v in vectors], pa.list_(pa.float64())),
+                     "genres": pa.array([None] * n, pa.list_(pa.string())), "year": pa.array([None] * n, pa.int32())})
+    return [pickle.loads(b.as_py()) for b in vector_balls.pack_items(rows, leaf).column("block")]
+
+
+@pytest.mark.parametrize("kind", ["unit", "norms", "clusters", "equal"])
+def test_balls_are_exact_and_prune(kind):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 8))
+    if kind == "norms":
+        x *= np.exp(rng.normal(size=(900, 1)) * 2)
+    if kind == "clusters":
+        x = np.repeat(rng.normal(size=(30, 8)), 30, axis=0) + 0.01 * x
+    if kind == "unit":
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "equal":
+        x[:] = x[0]
+    q = rng.normal(size=(300, 8))
+    stripe = ball_stripe(x, 32)
+    assert sorted(np.concatenate([b["ids"] for b in stripe]).tolist()) == list(range(900))
+    users, ids, score, share = vector_balls.search({"users": np.arange(300), "vectors": q, "profiles": [None] * 300}, stripe, 5)
+    got = defaultdict(list)
+    for u, i, s in zip(users, ids, score):
+        got[u].append(i)
+        assert abs(s - q[u] @ x[i]) < 1e-12
+    for u in range(300):
+        assert got[u] == sorted(range(900), key=lambda i: (-round(float(q[u] @ x[i]), 9), i))[:5]
+    if kind in ("norms", "clusters"):
+        assert share < 0.5
+
+
+def test_vector_constraints_act_before_the_k(spark, monkeypatch):
+    """Masks, blocked and allowed pairs and a null genre list, over several stripes and query blocks."""
+    monkeypatch.setattr(dense, "ITEM_BLOCK", 16)
+    monkeypatch.setattr(dense, "STRIPE_CELLS", 16)
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(9)
+    q, x = rng.normal(size=(12, 3)), rng.normal(size=(80, 3))
+    genres = [None if i % 11 == 0 else [g for n, g in enumerate("abc") if (i >> n) & 1] for i in range(80)]
+    years = [None if i % 7 == 0 else 1980 + i for i in range(80)]
+    queries = spark.createDataFrame([(u, v.tolist()) for u, v in enumerate(q)], "user_id bigint, weights array<double>")
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id bigint, weights array<double>")
+    catalog = spark.createDataFrame([(i, genres[i], years[i]) for i in range(78)], "item_id bigint, genres array<string>, year int")
+    rules = {0: (["a"], [], None, None), 1: ([], ["b"], 1990, 2030), 2: (None, None, None, None), 3: (["a", "c"], ["b"], None, 2050)}
+    states = spark.createDataFrame([(u, *r) for u, r in rules.items()],
+                                   "user_id bigint, required_genres array<string>, excluded_genres array<string>, year_min int, year_max int")
+    hidden = {(u, i) for u in range(12) for i in range(80) if (u * 7 + i) % 3 == 0}
+    blocked = spark.createDataFrame(sorted(hidden), "user_id bigint, item_id bigint")
+
+    def fits(u, i):
+        if (u, i) in hidden:
+            return False
+        if u not in rules:
+            return True
+        own = genres[i] if i < 78 else None
+        need, ban, low, high = rules[u]
+        year = years[i]
+        return (own is not None and set(need or []) <= set(own) and not set(ban or []) & set(own)
+                and (low is None or (year is not None and year >= low)) and (high is None or (year is not None and year <= high)))
+
+    def order(u, keep):
+        return sorted((i for i in range(80) if keep(u, i)), key=lambda i: (-round(float(q[u] @ x[i]), 9), i))[:6]
+
+    def ranked(top):
+        got = defaultdict(list)
+        for r in top.orderBy("user_id", "rank").collect():
+            got[r["user_id"]].append(r["item_id"])
+        return got
+
+    got = ranked(dense.block_topk(queries, vectors, 6, blocked, states=states, catalog=catalog))
+    assert [got[u] for u in range(12)] == [order(u, fits) for u in range(12)]
+    chosen = {(u, i) for u in range(0, 12, 2) for i in range(80) if i % 5}
+    allowed = spark.createDataFrame(sorted(chosen), "user_id bigint, item_id bigint")
+    got = ranked(dense.block_topk(queries, vectors, 6, blocked, allowed))
+    assert [got[u] for u in range(12)] == [order(u, lambda u, i: (u, i) in chosen - hidden) for u in range(12)]
+    assert dense.block_topk(queries, vectors.limit(0), 6, blocked).count() == 0
+    assert dense.block_topk(queries.limit(0), vectors, 6, blocked, states=states, catalog=catalog).count() == 0
+    with pytest.raises(ValueError):
+        dense.block_topk(queries, vectors, 6, states=states)

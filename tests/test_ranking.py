@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recspark.operators import ablation, candidates, dense, episodes, fusion, gates, ltr, metrics, quality, state
+from recspark.operators import ablation, candidates, episodes, fusion, gates, ltr, metrics, quality, state, vector_balls
 from recspark.streaming.preferences import preference_stream
 
 ROUTE = "user_id bigint, item_id bigint, score double, rank int"
@@ -238,4 +238,4 @@ def test_first_k_breaks_ties_by_column():
     scores[scores == 0] = -np.inf
     for k in (1, 7, 29, 30, 50):
         want = {(r, int(c)) for r in range(40) for c in np.argsort(-scores[r], kind="stable")[:k] if scores[r, c] > -np.inf}
-        assert set(zip(*(a.tolist() for a in dense.first_k(scores, k)))) == want
+        assert set(zip(*(a.tolist() for a in vector_balls.first_k(scores, k)))) == want
