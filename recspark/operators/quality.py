@@ -59,10 +59,3 @@ def check_user_alignment(
         )
     )
     return both.select("user_id", F.explode(problems).alias("problem"))
-
-
-def assert_empty(violations: DataFrame, what: str) -> None:
-    """Raise with a few examples when a violations table has rows."""
-    examples = violations.limit(3).collect()
-    if examples:
-        raise ValueError(f"{what}: {[r.asDict() for r in examples]}")

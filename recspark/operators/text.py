@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recspark.operators import postings
@@ -10,6 +12,10 @@ from recspark.operators.dense import divided
 # fixed value: what counts as a token of lower-cased text
 TOKEN_PATTERN = "[a-z0-9]+"
 
+#: From (message, liked genres, liked items) to a query text.
+Builder = Callable[[Column, Column, Column], Column]
+ITEM_FIELDS = {"title": "string", "year": "int", "genres": "array<string>", "text": "string"}
+
 
 def tokens(text: str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
@@ -62,16 +68,25 @@ def tfidf_retrieve(
 
 
 def semantic_profile(
-    states: DataFrame, hist: DataFrame, items: DataFrame, cap: int, style: str = "baseline", message: str = ""
+    states: DataFrame, hist: DataFrame, items: DataFrame, cap: int, style: str | Builder = "baseline", message: str = ""
 ) -> DataFrame:
     """Query text per user: message, liked genres, then the first ``cap`` liked items by id.
 
     ``style`` picks what an item adds: its text (``baseline``), its title
     (``titles-only``, no message or genres), or title, year and genres
-    (``titles-genres-year``, no message).
+    (``titles-genres-year``, no message). A function makes the text itself: it is given
+    columns, the message, the sorted liked genres and those items by id as structs of
+    ``item_id, title, year, genres, text``.
     """
     w = Window.partitionBy("user_id").orderBy("item_id")
     liked = hist.select("user_id", "item_id").distinct().withColumn("n", F.row_number().over(w)).filter(F.col("n") <= cap)
+    if callable(style):
+        known = F.struct("item_id", *[F.col(c) if c in items.columns else F.lit(None).cast(t).alias(c) for c, t in ITEM_FIELDS.items()])
+        rows = liked.join(items, "item_id").select("user_id", known.alias("item"))
+        ordered = rows.groupBy("user_id").agg(F.array_sort(F.collect_list("item")).alias("liked_items"))
+        joined = states.select("user_id", "liked_genres").join(ordered, "user_id", "left")
+        text = style(F.lit(message), F.array_sort("liked_genres"), F.coalesce("liked_items", F.array().cast(ordered.schema["liked_items"].dataType)))
+        return joined.select("user_id", text.alias("text"))
     genres = F.array_join("genres", " ")
     year = F.coalesce(F.concat(F.lit(" ("), F.col("year").cast("string"), F.lit(")")), F.lit(""))
     part = {

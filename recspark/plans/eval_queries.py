@@ -181,6 +181,47 @@ FROM steps GROUP BY case_id""")
 oracle("episode_rollup", "rolled", "SELECT * FROM rolled")
 
 
+def logged_turns(x: Inputs):
+    """Turns with what an episode keeps of them: its step, an error if that failed, state and items."""
+    return turn_table(x).select(
+        "case_id", F.col("position").alias("turn"), "latency_ms", F.lit(1).cast("bigint").alias("model_calls"),
+        F.col("size").alias("prompt_tokens"), (F.col("size") % 10).alias("completion_tokens"), (~F.col("success")).alias("failed"),
+        F.lit(False).alias("fallback_used"), F.lit(True).alias("plan_valid"),
+        F.array(F.struct("tool", "success", "size")).alias("traces"),
+        F.when(F.col("success"), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.col("tool"), F.lit(" failed")))).alias("errors"),
+        F.struct(F.col("size").alias("requested_count"), F.array("tool").alias("required_genres")).alias("state"),
+        F.array("size", F.col("size") % 10).alias("items"),
+    )
+
+
+@query("episode_records")
+def _episode_records(x: Inputs):
+    """Steps and errors counted, state and items of the last turn."""
+    out = episodes.episode_rollup(logged_turns(x))
+    return out.select(
+        "case_id", *longs("turns", "steps", "error_count"), F.col("state.requested_count").alias("requested_count"),
+        F.element_at("state.required_genres", 1).alias("required"), F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"),
+    )
+
+
+oracle("episode_records", "steps", """
+SELECT case_id, count(*) AS turns, count(*) AS steps, count(*) FILTER (WHERE NOT success) AS error_count,
+       arg_max(size, position) AS requested_count, arg_max(tool, position) AS required,
+       arg_max(size || ',' || (size % 10), position) AS items
+FROM steps GROUP BY case_id""")
+
+
+@query("episode_steps")
+def _episode_steps(x: Inputs):
+    """The errors of all turns as rows."""
+    steps = episodes.episode_steps(logged_turns(x), log="errors")
+    return steps.select("case_id", *longs("turn", "position"), F.col("entry").alias("error"))
+
+
+oracle("episode_steps", "steps", """
+SELECT case_id, CAST(position AS BIGINT) AS turn, CAST(0 AS BIGINT) AS position, tool || ' failed' AS error FROM steps WHERE NOT success""")
+
+
 @query("episodes_roundtrip")
 def _episodes_roundtrip(x: Inputs):
     """Episodes written as nested JSON lines and read back."""

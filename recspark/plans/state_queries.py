@@ -163,7 +163,7 @@ def _cases_roundtrip(x: Inputs):
     )
     path = scratch_path(x.spark, "cases")
     files.write_cases(made, path)
-    back = files.read_case_lines(x.spark, path)
+    back = files.read_cases(x.spark, path, lines=True)
     return back.select(
         "case_id", "user_id", F.element_at("relevant_ids", 1).alias("relevant_item"),
         F.element_at("initial_state.liked_genres", 1).alias("note"), F.element_at("tags", 1).alias("tag"),

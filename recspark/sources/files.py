@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 STATE_FIELDS = T.StructType(
     [
@@ -32,6 +32,14 @@ CASE_SCHEMA = T.StructType(
     ]
 )
 
+# fixed values: other names of these fields in case files
+OTHER_NAMES = {
+    "relevant_ids": "relevant_movie_ids",
+    "liked_ids": "liked_movie_ids",
+    "disliked_ids": "disliked_movie_ids",
+    "excluded_ids": "excluded_movie_ids",
+}
+
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     """Catalog lines ``id::title (year)::genre|genre`` in latin-1; blank lines are skipped."""
@@ -67,18 +75,39 @@ def with_text(items: DataFrame) -> DataFrame:
     return items.withColumn("text", F.concat_ws(" ", "title", F.array_join("genres", " ")))
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation cases, as JSON lines or as JSON arrays spread over lines."""
-    return spark.read.schema(CASE_SCHEMA).option("multiLine", True).json(path)
+def _with_other_names(kind: T.StructType) -> T.StructType:
+    fields = []
+    for f in kind.fields:
+        own = _with_other_names(f.dataType) if isinstance(f.dataType, T.StructType) else f.dataType
+        fields += [T.StructField(n, own) for n in (f.name, OTHER_NAMES.get(f.name)) if n]
+    return T.StructType(fields)
 
 
-def write_cases(cases: DataFrame, path: str) -> None:
-    # multi-line reading takes one document per file: write JSON lines, read both
-    cases.select(*CASE_SCHEMA.fieldNames()).write.mode("errorifexists").json(path)
+def _own_names(kind: T.StructType, at: str = "") -> list[Column]:
+    """The fields of ``kind``, each from whichever of its names is filled; a null struct stays null."""
+    out = []
+    for f in kind.fields:
+        if isinstance(f.dataType, T.StructType):
+            value = F.when(F.col(at + f.name).isNotNull(), F.struct(*_own_names(f.dataType, f"{at}{f.name}.")))
+        else:
+            value = F.coalesce(*[F.col(at + n) for n in (f.name, OTHER_NAMES.get(f.name)) if n])
+        out.append(value.alias(f.name))
+    return out
 
 
-def read_case_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CASE_SCHEMA).json(path)
+def read_cases(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Evaluation cases: a file is one JSON array over many lines or, with ``lines``, a case a line.
+
+    Fields go by the names of ``CASE_SCHEMA`` or those of ``OTHER_NAMES``; a file that
+    isn't JSON fails the read. Arrays are read whole by one task each, so large sets
+    belong in lines, which Spark splits."""
+    raw = spark.read.schema(_with_other_names(CASE_SCHEMA)).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
+    return raw.select(*_own_names(CASE_SCHEMA))
+
+
+def write_cases(cases: DataFrame, path: str) -> None:
+    """A case a line; an existing target is refused."""
+    cases.select(*CASE_SCHEMA.fieldNames()).write.mode("errorifexists").json(path)
 
 
 def write_episodes(episodes: DataFrame, path: str) -> None:
@@ -92,10 +121,15 @@ def write_user_metrics(metrics: DataFrame, path: str) -> None:
 
 
 def write_vectors(vectors: DataFrame, path: str, **params: object) -> None:
-    """Embedding or factor table together with the one-row table of its fit parameters."""
-    spark = vectors.sparkSession
+    """Embedding or factor table together with the one-row table of its fit parameters.
+
+    Parameters keep their types: booleans, whole numbers, doubles, strings and lists of them."""
     vectors.write.mode("errorifexists").parquet(f"{path}/vectors")
-    spark.createDataFrame([{k: str(v) for k, v in params.items()} or {"params": ""}]).write.parquet(f"{path}/params")
+    names = sorted(params)
+    one = vectors.sparkSession.range(1)
+    cells = [F.lit(params[n]).alias(n) if not isinstance(params[n], int) or isinstance(params[n], bool)
+             else F.lit(params[n]).cast("bigint").alias(n) for n in names]
+    one.select(*(cells or [F.lit("").alias("params")])).write.parquet(f"{path}/params")
 
 
 def read_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
