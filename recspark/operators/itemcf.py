@@ -23,24 +23,25 @@ class ItemCF:
     pop: DataFrame
 
 
-def itemcf_fit(inter: DataFrame, threshold: int = POSITIVE_THRESHOLD, chunk: int = CHUNK) -> ItemCF:
-    """Cosine of co-like counts, ``c_ij / sqrt(p_i * p_j)``; popularity counts rows, co-likes distinct items.
+def co_likes(likes: DataFrame, chunk: int = CHUNK, *carry: str) -> DataFrame:
+    """``(a, b)`` with a < b for each user and pair of liked items, and the user's ``carry`` columns.
 
     A user's likes are cut into chunks in item order, and each pair of chunks emits
     its pairs of items from a row of its own. Every user takes this path, no row
     holds more than two chunks, and the result is the same for any chunk size.
     """
-    pop = popularity(inter, threshold)
-    likes = positives(inter, threshold).select("user_id", "item_id").distinct()
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("item_id")) - 1
-    baskets = likes.withColumn("chunk", F.floor(place / chunk)).groupBy("user_id", "chunk").agg(
+    baskets = likes.withColumn("chunk", F.floor(place / chunk)).groupBy("user_id", "chunk", *carry).agg(
         F.sort_array(F.collect_list("item_id")).alias("basket"))
     first = baskets.select("user_id", F.col("chunk").alias("ca"), F.col("basket").alias("left"))
-    met = first.join(baskets, "user_id").where("ca <= chunk").select("ca", "chunk", "left", "basket")
-    sided = met.select("ca", "chunk", "basket", F.posexplode("left").alias("i", "a"))
+    met = first.join(baskets, "user_id").where("ca <= chunk").select("ca", "chunk", "left", "basket", *carry)
+    sided = met.select("ca", "chunk", "basket", *carry, F.posexplode("left").alias("i", "a"))
     later = F.when(F.col("ca") == F.col("chunk"), F.slice("basket", F.col("i") + 2, F.size("basket"))).otherwise(F.col("basket"))
-    pairs = sided.select("a", F.explode(later).alias("b"))
-    counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    return sided.select("a", F.explode(later).alias("b"), *carry)
+
+
+def similarities(counts: DataFrame, pop: DataFrame) -> DataFrame:
+    """``(src, dst, score)`` in both directions from ``counts(a, b, c)``."""
     pa = pop.select(F.col("item_id").alias("a"), F.col("popularity").alias("pa"))
     pb = pop.select(F.col("item_id").alias("b"), F.col("popularity").alias("pb"))
     half = counts.join(pa, "a").join(pb, "b").select("a", "b", (F.col("c") / F.sqrt(F.col("pa") * F.col("pb"))).alias("score"))
@@ -50,7 +51,36 @@ def itemcf_fit(inter: DataFrame, threshold: int = POSITIVE_THRESHOLD, chunk: int
             F.struct(F.col("b").alias("src"), F.col("a").alias("dst")),
         )
     )
-    return ItemCF(half.select(both.alias("e"), "score").select("e.src", "e.dst", "score"), pop)
+    return half.select(both.alias("e"), "score").select("e.src", "e.dst", "score")
+
+
+def itemcf_fit(inter: DataFrame, threshold: int = POSITIVE_THRESHOLD, chunk: int = CHUNK) -> ItemCF:
+    """Cosine of co-like counts, ``c_ij / sqrt(p_i * p_j)``; popularity counts rows, co-likes distinct items."""
+    pop = popularity(inter, threshold)
+    likes = positives(inter, threshold).select("user_id", "item_id").distinct()
+    counts = co_likes(likes, chunk).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    return ItemCF(similarities(counts, pop), pop)
+
+
+def fold_models(inter: DataFrame, folds: DataFrame, n: int, threshold: int = POSITIVE_THRESHOLD, chunk: int = CHUNK) -> list[ItemCF]:
+    """For each of ``n`` folds the model fitted on the users of the other folds.
+
+    ``folds(user_id, fold)`` has one fold per user; other users enter no fit. All co-likes
+    are counted in one pass, whole and per held-out fold, and written once. A fold's
+    statistics are the totals less what its users added, so no fold counts pairs again.
+    """
+    rows = positives(inter, threshold).join(folds.select("user_id", "fold"), "user_id")
+    counted = [F.count(F.lit(1)).alias("all"), *[F.count_if(F.col("fold") == f).alias(f"held{f}") for f in range(n)]]
+    pops = stored(rows.groupBy("item_id").agg(*counted), "fold-popularity")
+    likes = rows.select("user_id", "item_id", "fold").distinct()
+    counts = stored(co_likes(likes, chunk, "fold").groupBy("a", "b").agg(*counted), "fold-counts")
+
+    def model(fold: int) -> ItemCF:
+        rest = F.col("all") - F.col(f"held{fold}")
+        pop = pops.select("item_id", rest.alias("popularity")).filter("popularity > 0")
+        return ItemCF(similarities(counts.select("a", "b", rest.alias("c")).filter("c > 0"), pop), pop)
+
+    return [model(f) for f in range(n)]
 
 
 def without(rows: DataFrame, users: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from recspark.operators import itemcf, metrics, popularity, splits
 from recspark.plans.context import Inputs, longs, query, rounded
 from recspark.plans.oracle import cte, oracle
-from recspark.session import scratch_path
+from recspark.session import scratch_path, stored
 from recspark.sources import files
 
 cte("inter", "", """
@@ -229,6 +231,27 @@ def _itemcf_fit(x: Inputs):
 oracle("itemcf_fit", "sim", "SELECT src, dst, round(score, 6) AS score FROM sim")
 
 
+@query("itemcf_folds")
+def _itemcf_folds(x: Inputs):
+    """Neighbours and best score of each item, fitted without each of three folds of users."""
+    folds = stored(splits.group_kfold(x.goals, 3), "folds")
+    best = lambda m: m.sim.groupBy("src").agg(F.count(F.lit(1)).alias("neighbours"), F.max("score").alias("best"))
+    parts = [best(m).withColumn("fold", F.lit(n).cast("bigint")) for n, m in enumerate(itemcf.fold_models(x.legal_positives, folds, 3))]
+    return reduce(DataFrame.unionByName, parts).select("fold", "src", "neighbours", *rounded("best"))
+
+
+oracle("itemcf_folds", "goals legal", """
+WITH f AS MATERIALIZED (SELECT user_id, (row_number() OVER (ORDER BY user_id DESC) - 1) % 3 AS fold FROM (SELECT DISTINCT user_id FROM goals)),
+r AS MATERIALIZED (SELECT l.user_id, l.item_id, h.fold FROM legal l JOIN f USING (user_id) JOIN (SELECT unnest(range(3)) AS fold) h ON h.fold <> f.fold
+  WHERE l.rating >= 4),
+p AS MATERIALIZED (SELECT fold, item_id, count(*) AS n FROM r GROUP BY ALL),
+d AS MATERIALIZED (SELECT DISTINCT fold, user_id, item_id FROM r),
+c AS MATERIALIZED (SELECT a.fold, a.item_id AS src, b.item_id AS dst, count(*) AS n FROM d a JOIN d b
+  ON a.fold = b.fold AND a.user_id = b.user_id AND a.item_id <> b.item_id GROUP BY ALL)
+SELECT c.fold, src, count(*) AS neighbours, round(max(c.n / sqrt(p.n * q.n)), 6) AS best
+FROM c JOIN p ON p.fold = c.fold AND p.item_id = src JOIN p q ON q.fold = c.fold AND q.item_id = dst GROUP BY c.fold, src""")
+
+
 @query("itemcf_retrieve")
 def _itemcf_retrieve(x: Inputs):
     ranked = itemcf.itemcf_retrieve(x.model, x.seen, x.users, x.items, 100)

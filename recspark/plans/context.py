@@ -80,11 +80,13 @@ class RankerInputs(Inputs):
     """What a learned ranker may see: rows before each user's ranker target, which is the goal.
 
     None of a user's three targets stands in any row. ``fit_users`` limits the rows that
-    statistics are fitted on, ``goal_users`` the users that are asked."""
+    statistics are fitted on, ``goal_users`` the users that are asked; ``fitted`` is the
+    ItemCF model of those users where it is there already."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, fit_users: DataFrame | None = None, goal_users: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, fit_users: DataFrame | None = None, goal_users: DataFrame | None = None,
+                 fitted: itemcf.ItemCF | None = None):
         super().__init__(spark, sf_dir)
-        self.fit_users, self.goal_users = fit_users, goal_users
+        self.fit_users, self.goal_users, self.fitted = fit_users, goal_users, fitted
 
     @cached_property
     def legal(self) -> DataFrame:
@@ -101,6 +103,10 @@ class RankerInputs(Inputs):
             return self.legal_positives
         return stored(splits.restrict_users(self.legal_positives, self.fit_users), "fit")
 
+    @cached_property
+    def model(self) -> itemcf.ItemCF:
+        return super().model if self.fitted is None else self.fitted
+
 
 QUERIES: dict = {}
 

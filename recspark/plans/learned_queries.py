@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recspark.operators import als, boosting, bpr, candidates, dense, graph, ltr, splits
+from recspark.operators import als, boosting, bpr, candidates, dense, graph, itemcf, ltr, selection, splits
 from recspark.plans import registry
 from recspark.plans.context import Inputs, RankerInputs, longs, query, rounded
 from recspark.plans.oracle import cte, oracle
@@ -116,14 +116,16 @@ def _learned_pipeline(x: Inputs):
 @query("grouped_cv")
 def _grouped_cv(x: Inputs):
     """Two settings, three whole-user folds, whose statistics only training users enter;
-    one fit gives both numbers of rounds."""
+    co-likes of all folds are counted once, and one fit gives both numbers of rounds."""
     names = candidates.FEATURES_V1
-    folds = stored(splits.group_kfold(RankerInputs(x.spark, x.sf_dir).goals, 3), "folds")
+    whole = RankerInputs(x.spark, x.sf_dir)
+    folds = stored(splits.group_kfold(whole.goals, 3), "folds")
+    models = itemcf.fold_models(whole.legal_positives, folds, 3)
 
     def build(fold: int):
         train, held = folds.filter(F.col("fold") != fold), folds.filter(F.col("fold") == fold)
-        fitted = RankerInputs(x.spark, x.sf_dir, train, train)
-        asked = RankerInputs(x.spark, x.sf_dir, train, held)
+        fitted = RankerInputs(x.spark, x.sf_dir, train, train, models[fold])
+        asked = RankerInputs(x.spark, x.sf_dir, train, held, models[fold])
         matrix = ltr.training_matrix(features_of(fitted, "v1"), fitted.goals)
         return matrix, features_of(asked, "v1"), asked.goals
 
@@ -233,6 +235,27 @@ def _select_params(x: Inputs):
     return x.spark.createDataFrame(cells, "rank int, ndcg_at_10 double, selected boolean")
 
 
+#: Small cuts of ``selection.GRIDS``: two settings a fit, two fits a method.
+SMALL_GRIDS = {
+    "als_direct": (selection.grid(rank=(2, 4), iterations=(1, 2), alpha=(40.0,), reg=(0.1,)), {}),
+    "bpr_mf": (selection.grid(rank=(2, 4), lr=(1e-3,), reg=(1e-3,), epochs=(1, 2)), {"draws_per_user": 10}),
+    "lightgcn": (selection.grid(rank=(2,), layers=(1, 2), lr=(1e-3,), reg=(1e-3,)), {"epochs": 1, "draws_per_user": 10}),
+}
+
+
+@query("select_direct_params")
+def _select_direct_params(x: Inputs):
+    """Grids of the three direct methods: fitted on development users' rows, judged on their targets."""
+    targets = stored(x.goals.select("user_id", "item_id"), "targets")
+    train = stored(splits.restrict_users(x.legal_positives, targets), "train")
+    cells = []
+    for method, (settings, fixed) in SMALL_GRIDS.items():
+        rank = selection.rankings(method, train, x.history, targets, x.items, **fixed)
+        best, rows = selection.select_direct(settings, selection.STAGE.get(method), rank, targets)
+        cells += [(method, ", ".join(f"{c}={v}" for c, v in r["params"].items()), float(r["ndcg"]), r["params"] == best) for r in rows]
+    return x.spark.createDataFrame(cells, "method string, params string, ndcg_at_10 double, selected boolean")
+
+
 # --- streamed state -----------------------------------------------------------
 
 
