@@ -95,10 +95,10 @@ def block_topk(
     block = lambda c, n: F.pmod(F.xxhash64(F.col(c).cast("bigint")), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     leaf = max(k, min(LEAF, ITEM_BLOCK))
-    packed_items = stored(about.withColumn("ib", block("item_id", stripes)).groupBy("ib").applyInArrow(
-        lambda rows: vector_balls.pack_items(rows, leaf), "ib int, block binary"), "item-blocks")
-    packed_queries = stored(asked.withColumn("qb", block("user_id", parts)).groupBy("qb").applyInArrow(
-        vector_balls.pack_queries, "qb int, block binary"), "query-blocks")
+    packed_items = about.withColumn("ib", block("item_id", stripes)).groupBy("ib").applyInArrow(
+        lambda rows: vector_balls.pack_items(rows, leaf), "ib int, block binary")
+    packed_queries = asked.withColumn("qb", block("user_id", parts)).groupBy("qb").applyInArrow(
+        vector_balls.pack_queries, "qb int, block binary")
     cells = packed_items.select(every(parts).alias("qb"), "ib", F.lit(False).alias("asked"), "block").unionByName(
         packed_queries.select("qb", every(stripes).alias("ib"), F.lit(True).alias("asked"), "block"))
     # Few large cells: enough partitions that hardly two of them meet in one.
@@ -113,7 +113,7 @@ def block_topk(
     else:
         found = spread(cells).applyInArrow(lambda rows: vector_balls.search_cell(rows, None, k, False), schema)
     out = stored(top_k(found, k), "top")
-    release(asked, about, packed_items, packed_queries)
+    release(asked, about)
     return out
 
 
