@@ -237,3 +237,53 @@ def test_vector_constraints_act_before_the_k(spark, monkeypatch):
     assert dense.block_topk(queries.limit(0), vectors, 6, blocked, states=states, catalog=catalog).count() == 0
     with pytest.raises(ValueError):
         dense.block_topk(queries, vectors, 6, states=states)
+
+
+def test_users_meet_only_blocks_of_their_neighbours(spark, monkeypatch):
+    """Separate communities: a user's rows come from the blocks of the own community, however many there are."""
+    monkeypatch.setattr(itemcf_blocks, "BLOCK_USERS", 8)
+    rng = np.random.default_rng(4)
+    sim = [(100 * c + a, 100 * c + b, s + 0.1) for c in range(12) for a, b, s in sim_table(rng, 30, 300)]
+    hist = [(10 * c + u, 100 * c + int(i)) for c in range(12) for u in range(8) for i in rng.choice(30, 3, replace=False)]
+    frame = spark.createDataFrame
+    ids = sorted({a for a, _, _ in sim} | {b for _, b, _ in sim})
+    items = frame([(i,) for i in ids], "item_id bigint")
+    packed = itemcf_blocks.pack(frame(sim, "src bigint, dst bigint, score double"), items.withColumn("popularity", F.lit(1)), items, 200, 100)
+    assert packed.count >= 12
+    users, seen = frame([(u,) for u in sorted({u for u, _ in hist})], "user_id bigint"), frame(hist, "user_id bigint, item_id bigint")
+    got, marks = defaultdict(dict), defaultdict(int)
+    for r in itemcf_blocks.cells(packed, itemcf_blocks.requests(users, seen), 40).collect():
+        if r["item_id"] is None:
+            marks[r["user_id"]] += 1
+        else:
+            got[r["user_id"]][r["item_id"]] = r["score"]
+    own = defaultdict(set)
+    for u, i in hist:
+        own[u].add(i)
+    for u, mine in own.items():
+        sums = defaultdict(float)
+        for a, b, s in sim:
+            if a in mine and b not in mine:
+                sums[b] += s
+        assert 1 <= marks[u] <= 3 and got[u].keys() == sums.keys() and all(abs(got[u][i] - s) < 1e-12 for i, s in sums.items())
+
+
+def test_popular_items_come_from_the_first_blocks(spark, monkeypatch):
+    """Users without neighbours stop at the first block that fills their list; strict profiles go on to the last."""
+    monkeypatch.setattr(itemcf_blocks, "POPULAR_ITEMS", 5)
+    monkeypatch.setattr(itemcf_blocks, "POPULAR_GROWTH", 2)
+    items = [(i, ["rare"] if i % 20 == 19 else ["usual"], 2000) for i in range(60)]
+    pop = [(i, 1 + (i * 7) % 13) for i in range(64)]
+    hist, blocked = [(u, u) for u in range(8)], [(u, 12) for u in range(6)]
+    states = [(u, ["rare"] if u % 2 else [], [], None, None) for u in range(4)]
+    frame, pairs = spark.createDataFrame, "user_id bigint, item_id bigint"
+    item_df, pop_df = frame(items, "item_id bigint, genres array<string>, year int"), frame(pop, "item_id bigint, popularity bigint")
+    asked_ = itemcf_blocks.requests(frame([(u,) for u in range(8)], "user_id bigint"), frame(hist, pairs), frame(blocked, pairs), frame(states, STATES), popular=True)
+    got = defaultdict(list)
+    for r in itemcf_blocks.popular_first(pop_df, item_df, asked_, 3).collect():
+        got[r["user_id"]].append((-r["score"], r["item_id"]))
+    for u in range(8):
+        rare = u < 4 and u % 2
+        want = sorted((-p, i) for i, p in pop if i < 60 and i != u and not (u < 6 and i == 12) and (not rare or i % 20 == 19))[:3]
+        assert sorted(got[u])[:3] == want
+        assert rare or len(got[u]) <= 6
