@@ -287,3 +287,40 @@ def test_popular_items_come_from_the_first_blocks(spark, monkeypatch):
         want = sorted((-p, i) for i, p in pop if i < 60 and i != u and not (u < 6 and i == 12) and (not rare or i % 20 == 19))[:3]
         assert sorted(got[u])[:3] == want
         assert rare or len(got[u]) <= 6
+
+
+@pytest.mark.parametrize("copies", [1, 1 << 20])
+def test_items_of_one_vector_are_multiplied_once(spark, monkeypatch, copies):
+    """Copies of few vectors, with blocked, allowed and constrained items, against brute force."""
+    monkeypatch.setattr(dense, "COPIES", copies * 40)
+    rng = np.random.default_rng(2)
+    q, own = rng.normal(size=(10, 3)), rng.normal(size=(6, 3))
+    own[5] = own[4]
+    x = own[np.arange(150) % 6]
+    frame, pairs = spark.createDataFrame, "user_id bigint, item_id bigint"
+    queries = frame([(u, v.tolist()) for u, v in enumerate(q)], "user_id bigint, weights array<double>")
+    vectors = frame([(i, v.tolist()) for i, v in enumerate(x)], "item_id bigint, weights array<double>")
+    catalog = frame([(i, ["a"] if i % 4 else ["a", "b"], 1950 + i) for i in range(150)], "item_id bigint, genres array<string>, year int")
+    states = frame([(u, ["b"] if u % 2 else [], [], 1960, 2090) for u in range(5)], STATES)
+    hidden = {(u, i) for u in range(10) for i in range(150) if (u + i) % 5 == 0 and i < 100}
+    chosen = {(u, i) for u in range(10) for i in range(150) if (u * i) % 7 < 3}
+    fits = lambda u, i: u >= 5 or ((i % 4 == 0 or u % 2 == 0) and 1960 <= 1950 + i <= 2090)
+    for k in (4, 30):
+        for restricted in (False, True):
+            top = dense.block_topk(queries, vectors, k, frame(sorted(hidden), pairs), frame(sorted(chosen), pairs) if restricted else None, states, catalog)
+            got = defaultdict(list)
+            for r in top.orderBy("user_id", "rank").collect():
+                got[r["user_id"]].append(r["item_id"])
+            for u in range(10):
+                may = [i for i in range(150) if fits(u, i) and (u, i) not in hidden and (not restricted or (u, i) in chosen)]
+                assert got[u] == sorted(may, key=lambda i: (-round(float(q[u] @ x[i]), 9), i))[:k]
+
+
+def test_a_ball_holds_each_vector_once():
+    rows = pa.table({"ib": pa.array([0, 0], pa.int32()), "weights": pa.array([[1.0, 0.0], [0.0, 1.0]], pa.list_(pa.float64())),
+                     "members": pa.array([[{"item_id": i, "genres": None, "year": None} for i in range(n, 1000, 2)] for n in (1, 0)],
+                                         pa.list_(pa.struct([("item_id", pa.int64()), ("genres", pa.list_(pa.string())), ("year", pa.int32())])))})
+    stripe = [pickle.loads(b.as_py()) for b in vector_balls.pack_items(rows, 64).column("block")]
+    assert [b["vectors"].shape for b in stripe] == [(2, 2)] and len(stripe[0]["ids"]) == 1000
+    _, ids, _, _ = vector_balls.search({"users": np.arange(1), "vectors": np.array([[1.0, 0.5]]), "profiles": [None]}, stripe, 3)
+    assert ids.tolist() == [1, 3, 5]
