@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,16 +20,25 @@ STATE = (
 )
 
 
-def _values(batch: pd.DataFrame, field: str) -> pd.DataFrame:
-    """The distinct ``(turn, value)`` of a list column, values as text."""
-    pairs = batch[["turn", field]].explode(field).dropna()
-    return pairs.astype({"turn": int, field: str}).drop_duplicates()
+def _given(values: Iterable) -> list:
+    """The values of a column or list, with None for what is missing."""
+    return [None if v is None or v != v else v for v in values]
+
+
+def _text(value) -> str:
+    return value if isinstance(value, str) else str(int(value))
 
 
 def _years_cross(dated: set) -> bool:
     """Does the state after any turn have year_min above year_max."""
-    turns = pd.DataFrame(dated, columns=["turn", "low", "high"], dtype=float).groupby("turn").last().ffill()
-    return bool((turns["low"] > turns["high"]).any())
+    low = high = None
+    ordered = sorted(dated, key=lambda d: (d[0], str(d)))
+    for n, (turn, new_low, new_high) in enumerate(ordered):
+        low, high = (low if new_low is None else new_low), (high if new_high is None else new_high)
+        done = n + 1 == len(ordered) or ordered[n + 1][0] > turn
+        if done and low is not None and high is not None and low > high:
+            return True
+    return False
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None = None) -> Iterator[pd.DataFrame]:
@@ -44,24 +53,21 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idl
         scalars = {f: (t, v) for f, t, v in old_scalars}
     for batch in batches:
         newest = max(newest or 0, int(pd.Timestamp(batch["event_time"].max()).timestamp() * 1000))
-        last = max(last, int(batch["turn"].max()))
-        replaced = batch.loc[batch["replace_soft"].eq(True), "turn"]
-        since = max(since, int(replaced.max())) if len(replaced) else since
+        # Sessions are many and small: plain loops, no pandas call for each field of each of them.
+        turns = [int(t) for t in batch["turn"].tolist()]
+        last = max(last, *turns)
+        since = max([since, *(t for t, r in zip(turns, _given(batch["replace_soft"].tolist())) if r)])
         for f in (*ID_FIELDS, *HARD_GENRES):
-            fixed.update((f, v) for v in _values(batch, f)[f])
+            fixed.update((f, _text(v)) for own in batch[f].tolist() if own is not None for v in _given(own) if v is not None)
         for f in SOFT_GENRES:
-            pairs = _values(batch, f)
-            soft.update((f, int(t), v) for t, v in zip(pairs["turn"], pairs[f]))
+            soft.update((f, t, _text(v)) for t, own in zip(turns, batch[f].tolist()) if own is not None for v in _given(own) if v is not None)
         for f in SCALARS:
-            given = batch.loc[batch[f].notna(), ["turn", f]].sort_values("turn", kind="stable").tail(1)
-            for t, v in zip(given["turn"], given[f]):
-                if t >= scalars.get(f, (-1, ""))[0]:
-                    scalars[f] = (int(t), v if isinstance(v, str) else str(int(v)))
-        years = batch.loc[batch["year_min"].notna() | batch["year_max"].notna(), ["turn", "year_min", "year_max"]]
-        whole = lambda c: [None if pd.isna(v) else int(v) for v in years[c]]
-        dated.update(zip(whole("turn"), whole("year_min"), whole("year_max")))
-        wanted = batch["requested_count"].dropna()
-        miscounted = bool(miscounted or (~wanted.between(1, MAX_COUNT)).any())
+            for t, v in zip(turns, _given(batch[f].tolist())):
+                if v is not None and t >= scalars.get(f, (-1, ""))[0]:
+                    scalars[f] = (t, _text(v))
+        years = zip(turns, *([None if v is None else int(v) for v in _given(batch[c].tolist())] for c in ("year_min", "year_max")))
+        dated.update(y for y in years if y[1:] != (None, None))
+        miscounted = bool(miscounted or any(v is not None and not 1 <= v <= MAX_COUNT for v in _given(batch["requested_count"].tolist())))
     errors = ["a patch leaves year_min above year_max"] if _years_cross(dated) else []
     errors += [f"requested_count must be 1 to {MAX_COUNT}"] if miscounted else []
     soft = {s for s in soft if s[1] >= since}

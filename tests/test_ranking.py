@@ -239,3 +239,33 @@ def test_first_k_breaks_ties_by_column():
     for k in (1, 7, 29, 30, 50):
         want = {(r, int(c)) for r in range(40) for c in np.argsort(-scores[r], kind="stable")[:k] if scores[r, c] > -np.inf}
         assert set(zip(*(a.tolist() for a in vector_balls.first_k(scores, k)))) == want
+
+
+def test_a_session_is_merged_without_pandas_calls_for_each_field(monkeypatch):
+    """Sessions are many: what is done for each must not grow by a data frame a field."""
+    import pandas as pd
+
+    from recspark.streaming import preferences
+
+    class State:
+        hasTimedOut, exists = False, False
+
+        def update(self, value):
+            self.value = value
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("a pandas call for one field of one session")
+
+    for name in ("explode", "drop_duplicates", "sort_values", "groupby", "dropna"):
+        monkeypatch.setattr(pd.DataFrame, name, refuse)
+    none = [None] * 3
+    batch = pd.DataFrame({
+        "turn": [2, 1, 3], "event_time": pd.to_datetime(["2024-01-02"] * 3), "replace_soft": [True, False, None],
+        "liked_ids": [[5], [5, 6], None], "disliked_ids": none, "excluded_ids": none, "liked_genres": [["B"], ["A"], ["C"]], "disliked_genres": none,
+        "required_genres": none, "excluded_genres": none, "year_min": [1980.0, float("nan"), 1970.0], "year_max": [float("nan"), 1975.0, float("nan")],
+        "requested_count": [200.0, float("nan"), 20.0], "ranking_mode": none})
+    out = next(preferences._advance((1,), iter([batch]), State()))
+    got = set(zip(out["field"], out["value"]))
+    assert {("liked_ids", "5"), ("liked_ids", "6"), ("liked_genres", "B"), ("liked_genres", "C"), ("year_min", "1970"), ("year_max", "1975"),
+            ("requested_count", "20"), ("error", "a patch leaves year_min above year_max")} <= got
+    assert ("liked_genres", "A") not in got and any(f == "error" and v.startswith("requested_count") for f, v in got)
