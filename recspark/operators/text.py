@@ -2,49 +2,111 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from recspark.operators import postings
-from recspark.operators.dense import divided
+from recspark.session import stored
 
 # fixed value: what counts as a token of lower-cased text
 TOKEN_PATTERN = "[a-z0-9]+"
+#: Token counts that are weighted together.
+CHUNK_POSTINGS = 250_000
 
 #: From (message, liked genres, liked items) to a query text.
 Builder = Callable[[Column, Column, Column], Column]
 ITEM_FIELDS = {"title": "string", "year": "int", "genres": "array<string>", "text": "string"}
 
 
-def tokens(text: str) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
-
-
-def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    exploded = docs.select(key, F.explode(tokens(text)).alias("token"))
-    return exploded.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
+def counted(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Token counts ``(key, tokens, tfs, chunk, own)``, one row a key, written and read back.
+
+    The texts are shuffled once; a key's texts meet in one task, which counts them as they
+    come. Rows of about ``CHUNK_POSTINGS`` counts make a chunk, whose first row has its
+    tokens and in how many rows they are in ``own``. Keys without a token have no row."""
+    rows = docs.select(F.col(key), F.lower(text).alias("text")).repartition(key).sortWithinPartitions(key)
+    found = re.compile(TOKEN_PATTERN).findall
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, kind = TaskContext.get().partitionId() << 32, None
+        held: list[tuple] = []
+        size, last, own = 0, None, Counter()
+
+        def made() -> pa.RecordBatch:
+            within = Counter(t for _, c in held for t in c)
+            first = [[{"token": t, "n": n} for t, n in within.items()]] + [None] * (len(held) - 1)
+            lists = [sorted(c.items()) for _, c in held]
+            return pa.RecordBatch.from_arrays([
+                pa.array([k for k, _ in held], kind), pa.array([[t for t, _ in x] for x in lists], pa.list_(pa.string())),
+                pa.array([[n for _, n in x] for x in lists], pa.list_(pa.int64())), pa.array([chunk] * len(held), pa.int64()),
+                pa.array(first, pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())])))], [key, "tokens", "tfs", "chunk", "own"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if k != last:
+                    if own:
+                        held.append((last, own))
+                        size += len(own)
+                    if size >= CHUNK_POSTINGS:
+                        yield made()
+                        held, size, chunk = [], 0, chunk + 1
+                    last, own = k, Counter()
+                if t:
+                    own.update(found(t))
+        if own:
+            held.append((last, own))
+        if held:
+            yield made()
+
+    schema = StructType([docs.select(key).schema[0], *StructType.fromDDL(
+        "tokens array<string>, tfs array<bigint>, chunk bigint, own array<struct<token:string,n:bigint>>")])
+    return stored(rows.mapInArrow(count, schema), "counts")
 
 
 def tfidf_fit(docs: DataFrame, key: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """``(vectors(key, tokens, weights), idf(token, idf))`` with L2-normalized weights."""
-    counts = term_counts(docs, key, text)
+    counts = counted(docs, key, text)
     size = docs.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))
     n = size.first()["n"]
-    idf = counts.groupBy("token").agg((F.log((1 + n) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
+    within = counts.select(F.explode("own").alias("e")).groupBy(F.col("e.token").alias("token"))
+    idf = stored(within.agg((F.log((1 + n) / (1 + F.sum("e.n"))) + 1).alias("idf")), "idf")
     return vectorize(counts, idf, key), idf
 
 
 def vectorize(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """Normalized tf * idf per key; tokens unknown to ``idf`` are dropped."""
-    weighted = counts.join(idf, "token").select(key, "token", (F.col("tf") * F.col("idf")).alias("w"))
-    packed = weighted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("token", "w"))).alias("p"))
-    norm = F.sqrt(F.aggregate("p", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
-    return packed.select(
-        key,
-        F.transform("p", lambda e: e["token"]).alias("tokens"),
-        divided(F.transform("p", lambda e: e["w"]), norm).alias("weights"),
-    )
+    """Normalized tf * idf per key of ``counted`` rows; tokens unknown to ``idf`` are dropped.
+
+    Only the tokens of a chunk meet ``idf``, not its counts."""
+    known = counts.select(F.col("chunk").alias("of"), F.explode("own.token").alias("token")).join(idf, "token").select("of", "token", "idf")
+
+    def weigh(rows: pa.Table, known: pa.Table) -> pa.Table:
+        lists = rows.column("tokens").combine_chunks()
+        place = pc.index_in(lists.flatten(), value_set=known.column("token").combine_chunks())
+        row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+        there = place.is_valid()
+        keep = there.to_numpy(zero_copy_only=False)
+        row = row[keep]
+        w = rows.column("tfs").combine_chunks().flatten().to_numpy()[keep] * known.column("idf").to_numpy()[place.drop_null().to_numpy()]
+        norm = np.sqrt(np.bincount(row, w * w, len(lists)))
+        size = np.bincount(row, minlength=len(lists))
+        ends = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+        out = pa.table({
+            key: rows.column(key), "tokens": pa.ListArray.from_arrays(ends, lists.flatten().filter(there)),
+            "weights": pa.ListArray.from_arrays(ends, pa.array(w / norm[row]))})
+        return out.filter(pa.array(size > 0))
+
+    schema = StructType([counts.schema[key], *StructType.fromDDL("tokens array<string>, weights array<double>")])
+    rows = counts.select("chunk", key, "tokens", "tfs")
+    return rows.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(weigh, schema)
 
 
 def vector_rows(vectors: DataFrame, key: str = "item_id") -> DataFrame:
@@ -62,8 +124,8 @@ def tfidf_retrieve(
     ``states`` holds hard constraints on the genres and years of ``items``."""
     if states is not None and items is None:
         raise ValueError("constraints need the items' genres and years")
-    query_vectors = vectorize(term_counts(queries, "user_id"), idf, "user_id")
-    made = postings.index(vector_rows(vectors), idf, None if states is None else items)
+    query_vectors = vectorize(counted(queries, "user_id"), idf, "user_id")
+    made = postings.index(vectors, "item_id", None if states is None else items)
     return postings.postings_topk(made, query_vectors, k, blocked, states)
 
 

@@ -146,12 +146,12 @@ def _part(marks: tuple[np.ndarray, np.ndarray, np.ndarray], lo: int, rows: int)
     return r[part] - lo, at[part], kind[part]
 
 
-def _open(own: dict, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def opened(own: dict, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``mask`` and how many items of each vector it leaves."""
     return mask, np.diff(np.append(0, np.cumsum(mask))[own["ends"]])
 
 
-def _copies(own: dict, scores: np.ndarray, kth: float, k: int, mask: np.ndarray | None, size: np.ndarray, marks, row: int,
+def copies(own: dict, scores: np.ndarray, kth: float, k: int, mask: np.ndarray | None, size: np.ndarray, marks, row: int,
             restricted: bool) -> tuple[np.ndarray, np.ndarray]:
     """``(places, vectors)`` of one query's items that may be among its first ``k``, from a ball
     whose vectors have several items: the first ``k`` open ones of each vector that counts."""
@@ -163,24 +163,28 @@ def _copies(own: dict, scores: np.ndarray, kth: float, k: int, mask: np.ndarray
         if restricted:
             only = np.zeros(len(own["ids"]), bool)
             only[at[mine][kind[mine]]] = True
-            mask, size = _open(own, only if mask is None else only & mask)
+            mask, size = opened(own, only if mask is None else only & mask)
     closed = shut if mask is None else shut[mask[shut]]
     if len(closed):
         size = size - np.bincount(np.searchsorted(ends, closed, side="right") - 1, minlength=len(size))
     some = np.flatnonzero((scores >= kth - NEAR) & (size > 0))
+    if len(some) > k:
+        some = some[scores[some] >= np.partition(scores[some], len(some) - k)[len(some) - k] - NEAR]
     some = some[np.argsort(-scores[some], kind="stable")]
     upto = np.cumsum(size[some])
     if len(some) and upto[-1] > k:
         some = some[scores[some] >= scores[some[np.searchsorted(upto, k)]] - NEAR]
-    places = []
-    for v in some.tolist():
-        at = np.arange(ends[v], min(ends[v + 1], ends[v] + k + len(shut)) if mask is None else ends[v + 1])
-        if mask is not None:
-            at = at[mask[at]]
-        places.append(at[~np.isin(at, shut)][:k] if len(shut) else at[:k])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(places), np.repeat(some, [len(p) for p in places])
+    lo, hi = ends[some], ends[some + 1]
+    if mask is None:
+        hi = np.minimum(hi, lo + k + len(shut))
+    width = hi - lo
+    of, at = np.repeat(np.arange(len(some)), width), np.repeat(lo - (np.cumsum(width) - width), width) + np.arange(width.sum())
+    keep = np.ones(len(at), bool) if mask is None else mask[at]
+    if len(shut):
+        keep &= ~np.isin(at, shut)
+    of, at = of[keep], at[keep]
+    first = np.arange(len(of)) - np.searchsorted(of, of) < k
+    return at[first], some[of[first]]
 
 
 def search(asked: dict, stripe: list[dict], k: int, marks=None, restricted: bool = False):
@@ -210,8 +214,8 @@ def search(asked: dict, stripe: list[dict], k: int, marks=None, restricted: bool
                 bound_by = {None: (None, np.diff(own["ends"]))}  # each profile of these queries once
                 for n, i in enumerate(live.tolist()):
                     if profiles[i] not in bound_by:
-                        bound_by[profiles[i]] = _open(own, masks[b].allowed(*profiles[i]))
-                    at, of = _copies(own, scores[n], kth[i], k, *bound_by[profiles[i]], part, i, restricted)
+                        bound_by[profiles[i]] = opened(own, masks[b].allowed(*profiles[i]))
+                    at, of = copies(own, scores[n], kth[i], k, *bound_by[profiles[i]], part, i, restricted)
                     new = scores[n, of]
                     best[i] = np.sort(np.concatenate([best[i], new]))[-k:]
                     kth[i] = best[i, 0]

@@ -324,3 +324,36 @@ def test_a_ball_holds_each_vector_once():
     assert [b["vectors"].shape for b in stripe] == [(2, 2)] and len(stripe[0]["ids"]) == 1000
     _, ids, _, _ = vector_balls.search({"users": np.arange(1), "vectors": np.array([[1.0, 0.5]]), "profiles": [None]}, stripe, 3)
     assert ids.tolist() == [1, 3, 5]
+
+
+@pytest.mark.parametrize("bound", [False, True])
+def test_items_of_one_text_are_one_vector(spark, monkeypatch, bound):
+    """The index holds each distinct text's postings once; copies are ranked by id, seen and constrained ones leave."""
+    texts = ["red ring", "red bolt", "blue ring big", "green nut"]
+    docs = [(i, texts[i % 4], ["g"] if i % 3 else ["h"], 1990 + i % 7) for i in range(200)]
+    docs_df = spark.createDataFrame(docs, "item_id bigint, text string, genres array<string>, year int")
+    queries = spark.createDataFrame([(u, ["red", "ring big", "bolt nut"][u % 3]) for u in range(9)], "user_id bigint, text string")
+    gone = [(u, i) for u in range(9) for i in range(200) if (u * 7 + i) % 5 == 0]
+    states = spark.createDataFrame([(u, None, ["h"], 1992, None) for u in range(0, 9, 2)], STATES) if bound else None
+    vectors, idf = text.tfidf_fit(docs_df)
+    made = postings.index(vectors, "item_id")
+    sizes = [len(pickle.loads(r["block"])["at"]) for r in made.blocks.collect()]
+    assert sum(sizes) == 9  # 2 + 2 + 3 + 2 postings for 200 items
+    got = by_user(text.tfidf_retrieve(vectors, idf, queries, 60, spark.createDataFrame(gone, "user_id bigint, item_id bigint"), states, docs_df))
+    weights = {r["item_id"]: dict(zip(r["tokens"], r["weights"])) for r in vectors.collect()}
+    asked_ = {r["user_id"]: dict(zip(r["tokens"], r["weights"])) for r in text.vectorize(text.counted(queries, "user_id"), idf, "user_id").collect()}
+    for u in range(9):
+        fine = [i for i, _, g, y in docs if (u, i) not in set(gone) and not (bound and u % 2 == 0 and (g == ["h"] or y < 1992))]
+        score = {i: sum(w * asked_[u].get(t, 0.0) for t, w in weights[i].items()) for i in fine}
+        want = sorted(((-round(s, 9), i) for i, s in score.items() if s > 0))[:60]
+        assert [i for i, _ in got[u]] == [i for _, i in want]
+
+
+def test_texts_of_one_key_are_counted_together(spark):
+    """Rows of one id make one vector, whichever chunk or batch they stand in; a text without tokens has none."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c"), (1, "a c A"), (3, None), (4, "--")], "item_id bigint, text string")
+    counts = {r["item_id"]: dict(zip(r["tokens"], r["tfs"])) for r in text.counted(docs, "item_id").collect()}
+    assert counts == {1: {"a": 3, "b": 1, "c": 1}, 2: {"b": 1, "c": 1}}
+    _, idf = text.tfidf_fit(docs)
+    assert {r["token"]: round(r["idf"], 9) for r in idf.collect()} == {
+        t: round(float(np.log(6 / (1 + n)) + 1), 9) for t, n in (("a", 1), ("b", 2), ("c", 2))}
