@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from recspark.session import stored
 TOKEN_PATTERN = "[a-z0-9]+"
 #: Token counts that are weighted together.
 CHUNK_POSTINGS = 250_000
+#: Bits for the tokens of queries.
+MARKS = 1 << 20
 
 #: From (message, liked genres, liked items) to a query text.
 Builder = Callable[[Column, Column, Column], Column]
@@ -124,9 +127,34 @@ def tfidf_retrieve(
     ``states`` holds hard constraints on the genres and years of ``items``."""
     if states is not None and items is None:
         raise ValueError("constraints need the items' genres and years")
-    query_vectors = vectorize(counted(queries, "user_id"), idf, "user_id")
-    made = postings.index(vectors, "item_id", None if states is None else items)
-    return postings.postings_topk(made, query_vectors, k, blocked, states)
+    counts = counted(queries, "user_id")
+    made = postings.index(asked_only(vectors, counts), "item_id", None if states is None else items)
+    return postings.postings_topk(made, vectorize(counts, idf, "user_id"), k, blocked, states)
+
+
+def asked_only(vectors: DataFrame, counts: DataFrame) -> DataFrame:
+    """``vectors`` without most tokens that no query of the ``counted`` rows has: they add nothing to a score.
+
+    The queries' tokens are marks in ``MARKS`` bits, so what the driver holds is bounded."""
+    place = F.pmod(F.crc32(F.col("token").cast("binary")), F.lit(MARKS)).cast("int")
+    asked = counts.select(F.explode("own.token").alias("token")).select(place.alias("at")).distinct()
+    marks = np.zeros(MARKS, bool)
+    marks[[r["at"] for r in asked.collect()]] = True
+    bits = np.packbits(marks)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.unpackbits(bits).astype(bool)
+        for batch in batches:
+            lists = batch.column("tokens")
+            coded = lists.flatten().dictionary_encode()
+            own = marks[np.array([crc32(t.encode()) % MARKS for t in coded.dictionary.to_pylist()], np.int64)][coded.indices.to_numpy()]
+            size = np.bincount(np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))[own], minlength=batch.num_rows)
+            ends, some = pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(own)
+            cut = {c: pa.ListArray.from_arrays(ends, batch.column(c).flatten().filter(some)) for c in ("tokens", "weights")}
+            yield pa.RecordBatch.from_pydict({"item_id": batch.column("item_id"), **cut}).filter(pa.array(size > 0))
+
+    rows = vectors.select("item_id", "tokens", "weights")
+    return rows.mapInArrow(keep, rows.schema)
 
 
 def semantic_profile(

@@ -357,3 +357,13 @@ def test_texts_of_one_key_are_counted_together(spark):
     _, idf = text.tfidf_fit(docs)
     assert {r["token"]: round(r["idf"], 9) for r in idf.collect()} == {
         t: round(float(np.log(6 / (1 + n)) + 1), 9) for t, n in (("a", 1), ("b", 2), ("c", 2))}
+
+
+def test_tokens_that_nobody_asks_for_are_not_indexed(spark):
+    docs = spark.createDataFrame([(i, f"common word{i} other{i}") for i in range(50)], "item_id bigint, text string")
+    vectors, idf = text.tfidf_fit(docs)
+    counts = text.counted(spark.createDataFrame([(1, "word7 common")], "user_id bigint, text string"), "user_id")
+    left = {r["item_id"]: dict(zip(r["tokens"], r["weights"])) for r in text.asked_only(vectors, counts).collect()}
+    whole = {r["item_id"]: dict(zip(r["tokens"], r["weights"])) for r in vectors.collect()}
+    assert len(left) == 50 and sum(len(v) for v in left.values()) < 60
+    assert left[7]["word7"] == whole[7]["word7"] and all(left[i]["common"] == whole[i]["common"] for i in range(50))
