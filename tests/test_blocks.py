@@ -367,3 +367,16 @@ def test_tokens_that_nobody_asks_for_are_not_indexed(spark):
     whole = {r["item_id"]: dict(zip(r["tokens"], r["weights"])) for r in vectors.collect()}
     assert len(left) == 50 and sum(len(v) for v in left.values()) < 60
     assert left[7]["word7"] == whole[7]["word7"] and all(left[i]["common"] == whole[i]["common"] for i in range(50))
+
+
+def test_a_shuffle_is_read_in_bounded_pieces(spark):
+    """Tasks behind a shuffle follow its bytes: a session of two partitions does not read it in two tasks."""
+    from recspark.session import tune
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        rows = tune(spark).range(2_000_000).groupBy((F.col("id") * 7).alias("k")).agg(F.sum(F.xxhash64("id")).alias("s"))
+        assert rows.rdd.getNumPartitions() > 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
