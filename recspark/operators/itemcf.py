@@ -40,11 +40,16 @@ def co_likes(likes: DataFrame, chunk: int = CHUNK, *carry: str) -> DataFrame:
     return sided.select("a", F.explode(later).alias("b"), *carry)
 
 
-def similarities(counts: DataFrame, pop: DataFrame) -> DataFrame:
-    """``(src, dst, score)`` in both directions from ``counts(a, b, c)``."""
+def with_popularity(counts: DataFrame, pop: DataFrame) -> DataFrame:
+    """``(a, b, c, pa, pb)``: each pair's co-likes and the popularity of both items."""
     pa = pop.select(F.col("item_id").alias("a"), F.col("popularity").alias("pa"))
     pb = pop.select(F.col("item_id").alias("b"), F.col("popularity").alias("pb"))
-    half = counts.join(pa, "a").join(pb, "b").select("a", "b", (F.col("c") / F.sqrt(F.col("pa") * F.col("pb"))).alias("score"))
+    return counts.join(pa, "a").join(pb, "b").select("a", "b", "c", "pa", "pb")
+
+
+def both_ways(halves: DataFrame) -> DataFrame:
+    """``(src, dst, score)`` in both directions from rows of ``with_popularity``."""
+    half = halves.select("a", "b", (F.col("c") / F.sqrt(F.col("pa") * F.col("pb"))).alias("score"))
     both = F.explode(
         F.array(
             F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
@@ -54,12 +59,29 @@ def similarities(counts: DataFrame, pop: DataFrame) -> DataFrame:
     return half.select(both.alias("e"), "score").select("e.src", "e.dst", "score")
 
 
+def similarities(counts: DataFrame, pop: DataFrame) -> DataFrame:
+    """``(src, dst, score)`` in both directions from ``counts(a, b, c)``."""
+    return both_ways(with_popularity(counts, pop))
+
+
 def itemcf_fit(inter: DataFrame, threshold: int = POSITIVE_THRESHOLD, chunk: int = CHUNK) -> ItemCF:
     """Cosine of co-like counts, ``c_ij / sqrt(p_i * p_j)``; popularity counts rows, co-likes distinct items."""
     pop = popularity(inter, threshold)
+    return ItemCF(similarities(pair_counts(inter, threshold, chunk), pop), pop)
+
+
+def pair_counts(inter: DataFrame, threshold: int = POSITIVE_THRESHOLD, chunk: int = CHUNK) -> DataFrame:
+    """``(a, b, c)``: how many users like both items."""
     likes = positives(inter, threshold).select("user_id", "item_id").distinct()
-    counts = co_likes(likes, chunk).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    return ItemCF(similarities(counts, pop), pop)
+    return co_likes(likes, chunk).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+
+
+def itemcf_stored(inter: DataFrame, threshold: int = POSITIVE_THRESHOLD, chunk: int = CHUNK) -> ItemCF:
+    """``itemcf_fit`` written once. Each pair is stored in one direction, with its counts:
+    small whole numbers take a fraction of the space of the scores of both directions,
+    which are made of them where they are read."""
+    pop = stored(popularity(inter, threshold), "pop")
+    return ItemCF(both_ways(stored(with_popularity(pair_counts(inter, threshold, chunk), pop), "pairs")), pop)
 
 
 def fold_models(inter: DataFrame, folds: DataFrame, n: int, threshold: int = POSITIVE_THRESHOLD, chunk: int = CHUNK) -> list[ItemCF]:
@@ -101,9 +123,8 @@ def itemcf_retrieve(
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    packed = blocks.pack(model.sim, model.pop, items)
-    rows = stored(blocks.cells(packed, blocks.requests(users, hist, blocked, states), k), "neighbours")
-    result = top_k(rows.filter("item_id IS NOT NULL"), k)
+    rows = blocks.found(model.sim, model.pop, items, blocks.requests(users, hist, blocked, states), k, "neighbours")
+    result = rows.filter("item_id IS NOT NULL")
     lonely = stored(without(rows, users), "lonely")
     if not lonely.isEmpty():
         asked = blocks.requests(lonely, hist, blocked, states, popular=True)
@@ -115,8 +136,7 @@ def itemcf_score(model: ItemCF, hist: DataFrame, pairs: DataFrame) -> DataFrame:
     """Score of the requested (user, item) pairs; 0.0 where an item is no neighbour."""
     wanted = pairs.select("user_id", "item_id").distinct()
     nothing = wanted.select("item_id").filter(F.lit(False))
-    packed = blocks.pack(model.sim, model.pop, nothing)
-    rows = stored(blocks.cells(packed, blocks.requests(wanted, hist, wanted=wanted), None), "scores")
+    rows = blocks.found(model.sim, model.pop, nothing, blocks.requests(wanted, hist, wanted=wanted), None, "scores")
     popular = (
         wanted.join(without(rows, wanted), "user_id", "left_semi")
         .join(hist.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
@@ -170,13 +190,12 @@ def held_out_retrieve(model: ItemCF, rows: DataFrame, hist: DataFrame, users: Da
         .groupBy("user_id")
         .agg(F.sum(1 / F.sqrt("popularity")).alias("w"))
     )
-    packed = blocks.pack(model.sim, pop, items)
     corrected = hidden.join(weight, "user_id", "left").select("user_id", "item_id", "own", F.coalesce("w", F.lit(0.0)).alias("weight"))
-    rows = stored(blocks.cells(packed, blocks.requests(users, seen, hidden=corrected), k), "held-out")
+    rows = blocks.found(model.sim, pop, items, blocks.requests(users, seen, hidden=corrected), k, "held-out")
     lonely = stored(without(rows, users), "lonely")
     popular = lonely_popular(lonely, pop, hidden, seen, items, k)
     kept = popular.join(items.select("item_id"), "item_id", "left_semi").select("user_id", "item_id", "score")
-    return top_k(rows.filter("item_id IS NOT NULL").unionByName(kept), k)
+    return top_k(rows.filter("item_id IS NOT NULL").drop("rank").unionByName(kept), k)
 
 
 def lonely_popular(lonely: DataFrame, pop: DataFrame, hidden: DataFrame, seen: DataFrame, items: DataFrame, k: int) -> DataFrame:

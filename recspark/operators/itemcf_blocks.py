@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,9 +31,11 @@ from recspark.functions.portable import SCORE_DIGITS
 from recspark.operators.masks import CONSTRAINTS, BlockMasks, profiles_of, rows_allowed, with_constraints
 from recspark.operators.popularity import catalog_order
 from recspark.operators.vector_balls import first_k
-from recspark.session import stored
+from recspark.session import release, stored
 
 BLOCK_LINKS, PIECE_LINKS, BLOCK_USERS = 4_000_000, 250_000, 65_536
+#: Links of a task that are packed together.
+BUNDLE_LINKS = 1 << 20
 #: Items of a block in popularity order, and by how much more blocks each round looks at.
 POPULAR_ITEMS, POPULAR_GROWTH = 4096, 16
 MAX_PARTITIONS = 1 << 14
@@ -53,7 +56,17 @@ class Packed:
 
 
 def _blob(value: dict) -> pa.Array:
-    return pa.array([pickle.dumps(value, protocol=5)], pa.binary())
+    return pa.array([squeezed(value)], pa.binary())
+
+
+def squeezed(value: dict) -> bytes:
+    """A packed and compressed block; its first eight bytes tell the size of the rest unpacked."""
+    raw = pickle.dumps(value, protocol=5)
+    return len(raw).to_bytes(8, "big") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> dict:
+    return pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "big"), codec="zstd"))
 
 
 def catalog(items: DataFrame) -> DataFrame:
@@ -90,8 +103,9 @@ def pack(sim: DataFrame, pop: DataFrame, items: DataFrame, links: int = BLOCK_LI
     def compress(rows: pa.Table, own: pa.Table) -> pa.Table:
         if not rows.num_rows or not own.num_rows:
             return pa.table({"ib": pa.array([], pa.int32()), "block": pa.array([], pa.binary())})
-        ids = pickle.loads(own.column("block")[0].as_py())["ids"]
-        src, dst, score = (rows.column(c).to_numpy() for c in ("src", "dst", "score"))
+        ids = unpacked(own.column("block")[0].as_py())["ids"]
+        bundles = [unpacked(b.as_py()) for b in rows.column("links")]
+        src, dst, score = (np.concatenate([b[c] for b in bundles]) for c in ("src", "dst", "score"))
         order = np.argsort(src, kind="stable")
         sources, first = np.unique(src[order], return_index=True)
         block = {"sources": sources, "ends": np.append(first, len(src)), "at": np.searchsorted(ids, dst[order]).astype(np.int32), "score": score[order]}
@@ -100,12 +114,52 @@ def pack(sim: DataFrame, pop: DataFrame, items: DataFrame, links: int = BLOCK_LI
     cut = F.pmod(F.xxhash64("src", F.lit(1)), F.lit(parts)).cast("int").alias("part")
     placed = place(sim, "dst")
     rows = placed.select("ib", cut, F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), "score")
+    rows = rows.mapInArrow(bundled, "ib int, part int, links binary")
     spread = described.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     pieces = rows.groupBy("ib", "part").cogroup(spread.groupBy("ib", "part")).applyInArrow(compress, "ib int, block binary")
     reach = stored(placed.select(F.col("src").cast("bigint").alias("src"), "ib").distinct(), "reach")
     return Packed(described, stored(pieces, "sim-blocks"), reach, count)
 
 
+def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of each block and part of ``BUNDLE_LINKS`` rows of a task as one packed row:
+    sorted ids and repeated scores shuffle in a fraction of the bytes of rows."""
+    names = ("ib", "part", "src", "dst", "score")
+
+    def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ib, part, src, dst, score = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in names)
+        order = np.lexsort((src, ib.astype(np.int64) << 32 | part))
+        ib, part, src, dst, score = (c[order] for c in (ib, part, src, dst, score))
+        first = np.flatnonzero(np.r_[True, (ib[1:] != ib[:-1]) | (part[1:] != part[:-1])])
+        links = [squeezed({"src": src[a:b], "dst": dst[a:b], "score": score[a:b]}) for a, b in zip(first, np.r_[first[1:], len(ib)])]
+        return pa.RecordBatch.from_arrays([pa.array(ib[first]), pa.array(part[first]), pa.array(links, pa.binary())], ["ib", "part", "links"])
+
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size >= BUNDLE_LINKS:
+            yield made(held)
+            held, size = [], 0
+    if held:
+        yield made(held)
+
+
+def found(sim: DataFrame, pop: DataFrame, items: DataFrame, asked: DataFrame, k: int | None, name: str) -> DataFrame:
+    """The rows of ``cells``, stored; the blocks and the ``requests`` that they were made of are deleted.
+
+    Given ``k``, only each user's first ``k`` of all blocks are stored, with their ``rank``."""
+    packed = pack(sim, pop, items)
+    rows = cells(packed, asked, k)
+    if k is not None:
+        rows = top_k(rows.withColumn("linked", F.col("item_id").isNull()), k, ("user_id", "linked")).drop("linked")
+    rows = stored(rows, name)
+    release(packed.items, packed.pieces, packed.reach, asked)
+    return rows
+
+
 def requests(
     users: DataFrame, hist: DataFrame, blocked: DataFrame | None = None, states: DataFrame | None = None, wanted: DataFrame | None = None,
     hidden: DataFrame | None = None, popular: bool = False,
@@ -153,7 +207,7 @@ def _searched(left: DataFrame, users: DataFrame, count: int, k: int | None) -> D
     def run(stored_: pa.Table, asked_: pa.Table) -> pa.Table:
         if not stored_.num_rows or not asked_.num_rows:
             return _table([], [], [])
-        read = lambda kind: [pickle.loads(b.as_py()) for b in stored_.filter(pc.equal(stored_.column("piece"), kind)).column("block")]
+        read = lambda kind: [unpacked(b.as_py()) for b in stored_.filter(pc.equal(stored_.column("piece"), kind)).column("block")]
         return _cell(read(False)[0], read(True), asked_, k)
 
     # Few large cells: enough partitions that hardly two of them meet in one.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -72,8 +71,7 @@ class Inputs:
 
     @cached_property
     def model(self) -> itemcf.ItemCF:
-        fitted = itemcf.itemcf_fit(self.fit_rows)
-        return replace(fitted, sim=stored(fitted.sim, "sim"), pop=stored(fitted.pop, "pop"))
+        return itemcf.itemcf_stored(self.fit_rows)
 
 
 class RankerInputs(Inputs):

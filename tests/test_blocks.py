@@ -2,6 +2,7 @@
 
 import pickle
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from recspark.operators import dense, filters, itemcf, itemcf_blocks, postings, text, vector_balls
 from recspark.operators.masks import BlockMasks
 from recspark.operators.vector_balls import first_k
+from recspark.plans.context import Inputs
+from recspark.plans.route_queries import Routes
+from recspark.session import work_dir
 
 STATES = "user_id bigint, required_genres array<string>, excluded_genres array<string>, year_min int, year_max int"
 
@@ -380,3 +384,34 @@ def test_a_shuffle_is_read_in_bounded_pieces(spark):
         assert rows.rdd.getNumPartitions() > 2
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_routes_keep_only_their_results(spark, tmp_path):
+    """No block, request or shuffle outlives a route, and a pair of items is stored once."""
+    x = Inputs(spark, "/root/testdata/sf0.001")
+    made = itemcf.itemcf_retrieve(x.model, x.seen, x.goals, x.items, 20)
+    assert made.count() > 0
+    (pairs,) = {f.rsplit("/", 1)[0] for f in x.model.sim.inputFiles() if "/pairs-" in f}
+    assert 2 * spark.read.parquet(pairs).count() == x.model.sim.count()
+    left = {p.name.rsplit("-", 1)[0] for p in Path(work_dir(spark).removeprefix("file:")).iterdir()}
+    before = {p.name for p in Path(work_dir(spark).removeprefix("file:")).iterdir()}
+    itemcf.itemcf_retrieve(x.model, x.seen, x.goals, x.items, 20)
+    new = {p.name.rsplit("-", 1)[0] for p in Path(work_dir(spark).removeprefix("file:")).iterdir() if p.name not in before}
+    assert new <= {"neighbours", "lonely", "cells"} and "neighbours" in left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+    routes = Routes(x, 20)
+    assert routes.itemcf() is routes.itemcf() and routes.semantic() is routes.semantic()
+
+
+def test_links_are_bundled_for_the_shuffle(monkeypatch):
+    monkeypatch.setattr(itemcf_blocks, "BUNDLE_LINKS", 50)
+    rng = np.random.default_rng(3)
+    batches = [pa.RecordBatch.from_pydict({"ib": pa.array(rng.integers(0, 3, n), pa.int32()), "part": pa.array(rng.integers(0, 2, n), pa.int32()),
+                                           "src": rng.integers(0, 9, n), "dst": rng.integers(0, 9, n), "score": rng.random(n)}) for n in (40, 0, 40, 7)]
+    rows = lambda b: list(zip(*(b.column(c).to_pylist() for c in ("ib", "part", "src", "dst", "score"))))
+    got = []
+    for batch in itemcf_blocks.bundled(iter(batches)):
+        for ib, part, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            links = itemcf_blocks.unpacked(blob)
+            got += [(ib, part, *row) for row in zip(*(links[c].tolist() for c in ("src", "dst", "score")))]
+    assert sorted(got) == sorted(r for b in batches for r in rows(b))
