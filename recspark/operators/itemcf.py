@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -13,6 +14,7 @@ from recspark.operators.splits import POSITIVE_THRESHOLD, positives
 from recspark.session import stored
 
 CHUNK = 512  # liked items that one row holds
+TASK_PAIRS = 2_000_000  # pairs of liked items that one task counts on average
 
 
 @dataclass(frozen=True)
@@ -28,14 +30,21 @@ def co_likes(likes: DataFrame, chunk: int = CHUNK, *carry: str) -> DataFrame:
 
     A user's likes are cut into chunks in item order, and each pair of chunks emits
     its pairs of items from a row of its own. Every user takes this path, no row
-    holds more than two chunks, and the result is the same for any chunk size.
+    holds more than two chunks, and the result is the same for any chunk size. The rows
+    are dealt to as many tasks as it takes for ``TASK_PAIRS`` pairs a task: what a
+    task counts is bounded by its pairs, of which few bytes of likes make many.
     """
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("item_id")) - 1
     baskets = likes.withColumn("chunk", F.floor(place / chunk)).groupBy("user_id", "chunk", *carry).agg(
         F.sort_array(F.collect_list("item_id")).alias("basket"))
+    baskets = stored(baskets, "baskets")
+    likes_of = baskets.groupBy("user_id").agg(F.sum(F.size("basket")).alias("n"))
+    pairs = likes_of.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
     first = baskets.select("user_id", F.col("chunk").alias("ca"), F.col("basket").alias("left"))
-    met = first.join(baskets, "user_id").where("ca <= chunk").select("ca", "chunk", "left", "basket", *carry)
-    sided = met.select("ca", "chunk", "basket", *carry, F.posexplode("left").alias("i", "a"))
+    met = first.join(baskets, "user_id").where("ca <= chunk").select(
+        "user_id", "ca", "chunk", F.when(F.col("ca") < F.col("chunk"), F.col("left")).alias("left"), "basket", *carry)
+    met = met.repartition(max(1, math.ceil(pairs / TASK_PAIRS)), "user_id", "ca", "chunk")
+    sided = met.select("ca", "chunk", "basket", *carry, F.posexplode(F.coalesce("left", "basket")).alias("i", "a"))
     later = F.when(F.col("ca") == F.col("chunk"), F.slice("basket", F.col("i") + 2, F.size("basket"))).otherwise(F.col("basket"))
     return sided.select("a", F.explode(later).alias("b"), *carry)
 
