@@ -1,8 +1,11 @@
 """What a step works on is bounded: cases by their number, tasks by their pairs."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from recspark.operators import cases, itemcf
+from recspark.functions.portable import draw, draws_of
+from recspark.operators import bpr, cases, itemcf
 
 
 def test_cases_rank_the_genres_of_drawn_users_only(spark, monkeypatch):
@@ -34,3 +37,25 @@ def test_co_likes_are_dealt_by_pairs(spark, monkeypatch):
     assert whole.rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() == -(-60 * 190 // 500)
     counted = lambda df: {(r["a"], r["b"]): r["count"] for r in df.groupBy("a", "b").count().collect()}
     assert counted(whole) == counted(dealt) and sum(counted(dealt).values()) == 60 * 190
+
+
+def test_negatives_are_drawn_again_only_for_positives(monkeypatch):
+    asked = []
+    monkeypatch.setattr(bpr, "draws_of", lambda ids, *before, after=(): asked.append(len(ids)) or draws_of(ids, *before, after=after))
+    likes = pa.table({"u": [1, 1, 2], "i": [1, 3, 2], "n": [2, 1, 1]})
+    u = np.arange(4000) % 2 + 1
+    at, negative = bpr.drawn_items(np.arange(4000), u, likes, 40, 7, 0)
+    assert asked[:2] == [4000, 4000] and sum(asked[2:]) < 400  # six tries for every draw before
+    assert set(at[u == 1]) == {0, 1} and set(at[u == 2]) == {2}
+    assert 0.6 < np.mean(at[u == 1] == 0) < 0.73  # two of three rows of the user
+    assert not set(zip(u, negative)) & {(1, 1), (1, 3), (2, 2)} and set(negative) == set(range(1, 41))
+
+
+def test_draws_and_slices_equal_the_column(spark, monkeypatch):
+    ids = [0, 1, 12345678901]
+    rows = spark.createDataFrame([(i,) for i in ids], "id bigint").select(draw(42, 3, "negative", F.col("id"), 2).alias("d")).collect()
+    assert [r["d"] for r in rows] == draws_of(np.array(ids), 42, 3, "negative", after=(2,)).tolist()
+    pos = spark.createDataFrame([(u, i) for u in range(30) for i in range(20) if (u + i) % 3], "user_id bigint, item_id bigint")
+    whole = {tuple(r) for r in bpr.bpr_triplets(pos, 500, 5, 1).collect()}
+    monkeypatch.setattr(bpr, "SLICE_DRAWS", 100)
+    assert len(whole) == 500 and {tuple(r) for r in bpr.bpr_triplets(pos, 500, 5, 1).collect()} == whole
