@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from recspark.functions.portable import draw, draws_of
-from recspark.operators import bpr, cases, itemcf
+from recspark.operators import bpr, cases, dense, itemcf
 
 
 def test_cases_rank_the_genres_of_drawn_users_only(spark, monkeypatch):
@@ -59,3 +59,18 @@ def test_draws_and_slices_equal_the_column(spark, monkeypatch):
     whole = {tuple(r) for r in bpr.bpr_triplets(pos, 500, 5, 1).collect()}
     monkeypatch.setattr(bpr, "SLICE_DRAWS", 100)
     assert len(whole) == 500 and {tuple(r) for r in bpr.bpr_triplets(pos, 500, 5, 1).collect()} == whole
+
+
+def test_balls_are_made_from_bounded_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    # Half of the vectors agree in the first coordinate.
+    items = [(i, [0.5 if i % 2 else float(v[0]), *map(float, v[1:])]) for i, v in enumerate(rng.normal(size=(900, 3)))]
+    users = [(u, list(map(float, v))) for u, v in enumerate(rng.normal(size=(20, 3)))]
+    table = lambda rows, key: spark.createDataFrame(rows, f"{key} bigint, weights array<double>")
+    monkeypatch.setattr(dense, "PIECE", 64)
+    sizes = dense.pieces(table(items, "item_id"), 900).groupBy("range", "piece").count().collect()
+    assert max(r["count"] for r in sizes) <= 128 and sum(r["count"] for r in sizes) == 900  # one group of a stripe before
+    got = {(r["user_id"], r["rank"]): r["item_id"] for r in dense.block_topk(table(users, "user_id"), table(items, "item_id"), 5).collect()}
+    for u, q in users:
+        order = sorted(items, key=lambda r: (-round(float(np.dot(q, r[1])), 9), r[0]))
+        assert [got[u, n] for n in range(1, 6)] == [i for i, _ in order[:5]]
