@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recspark.functions.portable import draw, draws_of
 from recspark.operators import bpr, cases, dense, itemcf
+from recspark.session import tune
 
 
 def test_cases_rank_the_genres_of_drawn_users_only(spark, monkeypatch):
@@ -74,3 +75,9 @@ def test_balls_are_made_from_bounded_pieces(spark, monkeypatch):
     for u, q in users:
         order = sorted(items, key=lambda r: (-round(float(np.dot(q, r[1])), 9), r[0]))
         assert [got[u, n] for n in range(1, 6)] == [i for i, _ in order[:5]]
+
+
+def test_scans_read_bounded_pieces(spark, tmp_path):
+    tune(spark).range(0, 40, 1, 40).write.parquet(str(tmp_path / "t"))
+    # A file counts as 4 MB at least: before, the cores shared 160 MB, 5 files a task and more in larger tables.
+    assert spark.read.parquet(str(tmp_path / "t")).rdd.getNumPartitions() >= 20
