@@ -1,11 +1,14 @@
 """What a step works on is bounded: cases by their number, tasks by their pairs."""
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from recspark.functions.portable import draw, draws_of
-from recspark.operators import bpr, cases, dense, itemcf
+from recspark.operators import bpr, cases, dense, itemcf, itemcf_blocks, vector_balls
 from recspark.session import tune
 
 
@@ -81,3 +84,49 @@ def test_scans_read_bounded_pieces(spark, tmp_path):
     tune(spark).range(0, 40, 1, 40).write.parquet(str(tmp_path / "t"))
     # A file counts as 4 MB at least: before, the cores shared 160 MB, 5 files a task and more in larger tables.
     assert spark.read.parquet(str(tmp_path / "t")).rdd.getNumPartitions() >= 20
+
+
+def test_queries_meet_shared_vectors_together(monkeypatch):
+    """No Python step per (query, ball) where vectors have several items, and the same first k."""
+    rng = np.random.default_rng(4)
+    own = rng.normal(size=(40, 3))
+    members = pa.list_(pa.struct([("item_id", pa.int64()), ("genres", pa.list_(pa.string())), ("year", pa.int32())]))
+    lists = [[{"item_id": i, "genres": ["a"] if i % 3 else ["b"], "year": 1950 + i % 50} for i in range(v, 400, 40)] for v in range(40)]
+    rows = pa.table({"ib": pa.array([0] * 40, pa.int32()), "weights": pa.array(own.tolist(), pa.list_(pa.float64())), "members": pa.array(lists, members)})
+    stripe = [pickle.loads(b.as_py()) for b in vector_balls.pack_items(rows, 8).column("block")]
+    assert len(stripe) > 1
+    monkeypatch.setattr(vector_balls, "copies", lambda *a: pytest.fail("a step per query"))
+    q = rng.normal(size=(300, 3))
+    blocked = [(u, i) for u in range(300) for i in rng.choice(400, u % 30, replace=False).tolist()]
+    pairs = pa.table({"user_id": [u for u, _ in blocked], "item_id": [i for _, i in blocked], "keep": [False] * len(blocked)})
+    marks = vector_balls._marks(np.arange(300), stripe, pairs)
+    profiles = [((), ("b",), 1960, None) if u % 2 else None for u in range(300)]
+    users, ids, score, _ = vector_balls.search({"users": np.arange(300), "vectors": q, "profiles": profiles}, stripe, 25, marks)
+    shut, got = set(blocked), {}
+    for u, i in zip(users.tolist(), ids.tolist()):
+        got.setdefault(u, []).append(i)
+    for u in range(300):
+        may = [i for i in range(400) if (u, i) not in shut and (u % 2 == 0 or i % 3 and i % 50 >= 10)]
+        assert got[u] == sorted(may, key=lambda i: (-round(float(q[u] @ own[i % 40]), 9), i))[:25]
+
+
+def test_a_cell_with_all_items_ranks_its_users(spark, monkeypatch):
+    """One stripe needs no shuffle of its rows; a user with two queries still has k rows."""
+    monkeypatch.setattr(dense, "top_k", lambda *a: pytest.fail("ranked again"))
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "user_id bigint, weights array<double>")
+    items = spark.createDataFrame([(i, [float(i), 3.5 - i]) for i in range(6)], "item_id bigint, weights array<double>")
+    got = sorted(tuple(r) for r in dense.block_topk(queries, items, 3).collect())
+    assert got == [(1, 0, 3.5, 3), (1, 4, 4.0, 2), (1, 5, 5.0, 1), (2, 0, 3.5, 1), (2, 1, 3.5, 2), (2, 2, 3.5, 3)]
+
+
+def test_means_are_added_up_in_bounded_parts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(50, 4))
+    pairs = [(int(u), int(i)) for u, i in zip(rng.integers(0, 5, 300), rng.integers(0, 50, 300))] + [(9, 3)] * 200
+    monkeypatch.setattr(dense, "KEY_ROWS", 40)
+    got = dense.mean_vector(spark.createDataFrame(pairs, "user_id bigint, item_id bigint"), spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(vectors)], "item_id bigint, embedding array<double>")).collect()
+    assert len(got) == 6
+    for r in got:
+        want = np.mean([vectors[i] for u, i in pairs if u == r["user_id"]], axis=0)
+        assert np.allclose(r["embedding"], want / np.linalg.norm(want))
