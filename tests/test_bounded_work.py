@@ -130,3 +130,15 @@ def test_means_are_added_up_in_bounded_parts(spark, monkeypatch):
     for r in got:
         want = np.mean([vectors[i] for u, i in pairs if u == r["user_id"]], axis=0)
         assert np.allclose(r["embedding"], want / np.linalg.norm(want))
+
+
+def test_a_cell_joins_its_pieces_and_keeps_only_what_may_be_in_the_first_k():
+    pieces = [{"sources": np.array([4, 9]), "ends": np.array([0, 2, 3]), "at": np.array([0, 2, 1], np.int32), "score": np.array([0.5, 0.25, 1.0])},
+              {"sources": np.array([2]), "ends": np.array([0, 2]), "at": np.array([1, 2], np.int32), "score": np.array([2.0, 4.0])}]
+    links = itemcf_blocks.joined(pieces)
+    assert links["sources"].tolist() == [2, 4, 9] and links["lengths"].tolist() == [2, 2, 1]
+    sums = itemcf_blocks._sums(links, 3, np.array([0, 0, 1]), np.array([2, 4, 9]), 2)
+    assert sums.tolist() == [[0.5, 2.0, 4.25], [0.0, 1.0, 0.0]]
+    met, ends = itemcf_blocks._positive(sums)
+    assert met.tolist() == [0, 1, 2, 4] and ends.tolist() == [0, 3, 4]
+    assert vector_balls.within_k(sums.ravel()[met], ends, 2).tolist() == [False, True, True, True]
